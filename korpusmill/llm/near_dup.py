@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korpusmill.functions.batches import map_batches
 from korpusmill.llm.common import SPACE, cut, fresh, slices, utf8, words
 from korpusmill.llm.components import components
 
@@ -63,7 +64,7 @@ def with_fingerprint(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", te
         for b in slices(batches):
             yield pa.record_batch([b.column(0), pa.array(fingerprints(*utf8(b.column(1)), width).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -76,7 +77,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
             gram, n = gram + bits.T @ bits, n + len(bits)
         yield pa.record_batch([pa.array(range(BITS * BITS + 1), pa.int32()), pa.array([*gram.ravel(), float(n)])], ["i", "x"])
 
-    sums = {r.i: r.x for r in fps.select("fp").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
+    sums = {r.i: r.x for r in map_batches(fps.select("fp"), run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()}
     return int(sums.get(BITS * BITS, 0)), np.array([sums.get(i, 0.0) for i in range(BITS * BITS)]).reshape(BITS, BITS)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import line_dedup, mixing, near_dup, sharding
+from korpusmill.llm import line_dedup, mixing, near_dup, quality_classifier, quality_rules, sharding
+from korpusmill.llm.labelled import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs.select("doc_id", "text")).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("copy").cast("long").alias("copy"))
 
@@ -36,8 +45,13 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dup, op3_line_dedup, op6_mix_sources, op7_shard)}
+    return {f.__name__: f for f in (op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
