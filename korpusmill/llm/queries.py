@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpusmill.llm import line_dedup, mixing, near_dup, quality_classifier, quality_rules, sharding
+from korpusmill.llm import decontamination, line_dedup, mixing, near_dup, pseudonyms, quality_classifier, quality_rules, sharding
 from korpusmill.llm.labelled import fold
 
 
@@ -45,13 +45,21 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
