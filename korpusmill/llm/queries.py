@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from korpusmill.llm import decontamination, line_dedup, mixing, near_dup, pseudonyms, quality_classifier, quality_rules, sharding
 from korpusmill.llm.labelled import fold
 
@@ -59,7 +60,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
+    named = {f.__name__: f for f in (op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
+    return {**named, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
