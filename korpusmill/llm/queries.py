@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from korpusmill.llm import decontamination, line_dedup, mixing, near_dup, pseudonyms, quality_classifier, quality_rules, sharding
+from korpusmill.llm import decontamination, html_extraction, line_dedup, mixing, near_dup, pseudonyms, quality_classifier, quality_rules, sharding
 from korpusmill.llm.labelled import fold
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
+    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
     return {**named, "pipeline": corpus_pipeline.run}
 
 
