@@ -101,20 +101,21 @@ def partitions(n: int, gram: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def allocate(n: int, gram: np.ndarray, distance: int, key_cost: float = 1.0, pair_cost: float = 2.0) -> tuple[list[list[int]], list[int]]:
-    """Partitions of the bits, and the threshold of each, at the least estimated cost.
+def allocate(n: int, gram: np.ndarray, distance: int, key_cost: float = 1.0, pair_cost: float = 0.1) -> tuple[list[list[int]], list[int], float]:
+    """Partitions of the bits, the threshold of each, and the mean bucket to expect, at the least estimated cost.
 
     Two fingerprints within ``distance`` differ by at most T_i in some partition i if the T_i + 1 add up to distance + 1; T_i = -1
     leaves partition i out. Estimated candidates of partition i at threshold t: all pairs times the probability that two
     random fingerprints differ by at most t there, from the share of ones of each bit over all fingerprints, with fewer
     effective bits where they are correlated. Dynamic programming over the partitions finds the cheapest thresholds for
-    each number of partitions; the cheapest of those wins.
+    each number of partitions; the cheapest of those wins. A key is made, moved and grouped; a candidate is two numbers compared
+    inside a join, a tenth of that.
     """
     p = np.diag(gram) / max(n, 1)
-    best = (inf, [], [])
+    best = (inf, [], [], 0.0)
     for m in range(2, distance + 2):
         parts = partitions(n, gram, m)
-        cost = np.full((m, distance + 2), inf)
+        cost, mean = np.full((m, distance + 2), inf), np.zeros((m, distance + 2))
         for i, bits in enumerate(parts):
             pi = p[bits]
             cov = gram[np.ix_(bits, bits)] / max(n, 1) - np.outer(pi, pi)
@@ -129,6 +130,7 @@ def allocate(n: int, gram: np.ndarray, distance: int, key_cost: float = 1.0, pai
             cost[i, 0] = 0
             for t in range(distance + 1):
                 if comb(len(bits), t) <= 1024:
+                    mean[i, t + 1] = n * at[: t + 1].sum() / comb(len(bits), t)
                     cost[i, t + 1] = key_cost * n * comb(len(bits), t) + pair_cost * n * n / 2 * at[: t + 1].sum()
         table, back = np.full((m + 1, distance + 2), inf), {}
         table[0, 0] = 0
@@ -143,8 +145,9 @@ def allocate(n: int, gram: np.ndarray, distance: int, key_cost: float = 1.0, pai
             for i in range(m, 0, -1):
                 chosen.append(back[i, used] - 1)
                 used -= back[i, used]
-            best = (table[m, distance + 1], parts, chosen[::-1])
-    return best[1], best[2]
+            chosen = chosen[::-1]
+            best = (table[m, distance + 1], parts, chosen, max(mean[i, t + 1] for i, t in enumerate(chosen)))
+    return best[1:]
 
 
 def _signed(x: int) -> int:
@@ -165,16 +168,17 @@ def flips(radius: int) -> list[int]:
     return [_signed(sum(1 << b for b in c)) for k in range(radius + 1) for c in combinations(range(BITS), k)]
 
 
-def links(fps: DataFrame, distance: int = 4, crowd: int = 32) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, crowd: int = 128) -> DataFrame:
     """Edges (``src``, ``dst``) between the ids of distinct fingerprints (``fp``, ``id``) whose closure is all links within ``distance``.
 
-    Fingerprints meet in buckets by their masked values. In a bucket of at most ``crowd``, every pair is verified. In a larger
-    one, members are verified against its first; where that leaves it in more than one component, its members meet again at all
+    Fingerprints meet in buckets by their masked values. In a bucket of at most ``crowd`` (and eight
+    times the bucket to expect), every pair is compared inside the join. In a larger one, members are verified against its first; where that leaves it in more than one component, its members meet again at all
     fingerprints within half the distance: two fingerprints are within an even distance just if they share such a midpoint. So
     no bucket is capped and none emits its square.
     """
     n, gram = bit_statistics(fps)
-    parts, thresholds = allocate(n, gram, distance)
+    parts, thresholds, mean = allocate(n, gram, distance)
+    crowd = max(crowd, int(8 * mean))
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(x).alias("mask")) for i, x in enumerate(masks(parts, thresholds))]))
     keyed = fps.select("fp", "id", keys.alias("key")).select("fp", "id", F.col("key.k").alias("k"), F.col("fp").bitwiseAND(F.col("key.mask")).alias("v"))
     sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("lead")).filter("n > 1")
@@ -201,7 +205,7 @@ def links(fps: DataFrame, distance: int = 4, crowd: int = 32) -> DataFrame:
     return edges.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``fp`` (signed long) and ``component_id``, the smallest id reachable over links.
 
     Fingerprints link if they differ in at most ``distance`` bits (an even number). Copies share a fingerprint and stand for
