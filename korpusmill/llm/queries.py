@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from korpusmill.llm import decontamination, html_extraction, line_dedup, mixing, near_dup, pseudonyms, quality_classifier, quality_rules, sharding
+from korpusmill.llm import decontamination, html_extraction, line_dedup, mixing, near_dup, passage_dedup, pseudonyms, quality_classifier, quality_rules, sharding
 from korpusmill.llm.labelled import fold
 
 
@@ -41,6 +41,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", F.col("copy").cast("long").alias("copy"))
 
@@ -64,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
+    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
     return {**named, "pipeline": corpus_pipeline.run}
 
 
