@@ -72,7 +72,7 @@ def first_section(c: Column, cap: int = 1500) -> Column:
     """Body of the first second-level heading without quoted and arrow lines, cut at ``cap`` characters."""
     body = F.get(F.split(c, r"(?m)^## "), F.lit(1))
     lines = F.filter(F.slice(F.split(body, "\n"), 2, 1_000_000), lambda x: ~F.ltrim(x).startswith(">") & ~F.ltrim(x).startswith("→"))
-    return F.substring(F.trim(F.array_join(lines, "\n")), 1, cap)
+    return F.substring(F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", ""), 1, cap)
 
 
 def snippet(c: Column, cap: int = 800) -> Column:

@@ -60,7 +60,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, floor: float |
 def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:
     """Lexical top-k: sum of products of weights over shared tokens. Both sides: id (``query_id`` / ``id``), ``token``, ``weight``."""
     q = queries.select("query_id", "token", F.col("weight").alias("qw"))
-    hits = corpus.join(q, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
+    hits = corpus.join(q, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 10).alias("score"))
     return top_k(hits, ["query_id"], "score", k, "id")
 
 
@@ -68,7 +68,7 @@ def token_weights(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Tokens of a text with the share of its tokens each has: an offline stand-in for learned lexical weights."""
     words = df.select(F.col(id_col).alias("id"), F.explode(F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("token"))
     n = words.groupBy("id", "token").agg(F.count("*").alias("n"))
-    return n.withColumn("weight", F.round(F.col("n") / F.sum("n").over(W.partitionBy("id")), 6)).drop("n")
+    return n.withColumn("weight", F.col("n") / F.sum("n").over(W.partitionBy("id"))).drop("n")
 
 
 def rrf(lanes: DataFrame, k: int = 2, top: int = 5) -> DataFrame:

@@ -161,10 +161,10 @@ TURNS = f"""
 WITH u AS (SELECT conv_id AS query_id, {WORDS} AS qw FROM conversations WHERE role = 'user' AND turn = 0),
 a AS (SELECT conv_id * 1000 + turn AS id, {WORDS} AS aw FROM conversations WHERE role = 'assistant'),
 qt AS (SELECT query_id, token, count(*) AS n FROM (SELECT query_id, unnest(qw) AS token FROM u) GROUP BY 1, 2),
-qs AS (SELECT query_id, token, round(n / sum(n) OVER (PARTITION BY query_id), 6) AS w FROM qt),
+qs AS (SELECT query_id, token, n / sum(n) OVER (PARTITION BY query_id) AS w FROM qt),
 atk AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(aw) AS token FROM a) GROUP BY 1, 2),
-aws AS (SELECT id, token, round(n / sum(n) OVER (PARTITION BY id), 6) AS w FROM atk),
-s0 AS (SELECT query_id, id, round(sum(qs.w * aws.w), 6) AS score FROM qs JOIN aws USING (token) GROUP BY 1, 2),
+aws AS (SELECT id, token, n / sum(n) OVER (PARTITION BY id) AS w FROM atk),
+s0 AS (SELECT query_id, id, round(sum(qs.w * aws.w), 10) AS score FROM qs JOIN aws USING (token) GROUP BY 1, 2),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s0) WHERE rank <= 20),
 o0 AS (SELECT sp.query_id, sp.id, sp.score AS dense_score, coalesce(round(len(list_intersect(list_distinct(qw), list_distinct(aw))) / nullif(len(list_distinct(qw)), 0), 6), 0) AS score FROM sparse sp JOIN u USING (query_id) JOIN a USING (id)),
 re AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM o0) WHERE rank <= 20),
@@ -213,7 +213,7 @@ def r8_rank_fusion(t: Tables) -> DataFrame:
     TURNS
     + """, lb AS (SELECT conv_id AS query_id, min(conv_id * 1000 + turn) AS id FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT query_id FROM u) GROUP BY 1),
 lanes AS (SELECT 'sparse' AS lane, query_id, id, rank FROM sparse UNION ALL SELECT 'rerank', query_id, id, rank FROM re UNION ALL SELECT 'rrf', query_id, id, rank FROM fused)
-SELECT lb.query_id, max(rank) FILTER (lane = 'sparse') AS sparse, max(rank) FILTER (lane = 'rerank') AS rerank, max(rank) FILTER (lane = 'rrf') AS rrf,
+SELECT lb.query_id, coalesce(max(rank) FILTER (lane = 'sparse'), 0) AS sparse, coalesce(max(rank) FILTER (lane = 'rerank'), 0) AS rerank, coalesce(max(rank) FILTER (lane = 'rrf'), 0) AS rrf,
   CAST(coalesce(max(rank) FILTER (lane = 'sparse'), 99) <= 5 AS INT) AS sparse_hit, CAST(coalesce(max(rank) FILTER (lane = 'rerank'), 99) <= 5 AS INT) AS rerank_hit, CAST(coalesce(max(rank) FILTER (lane = 'rrf'), 99) <= 5 AS INT) AS rrf_hit
 FROM lb LEFT JOIN lanes ON lb.query_id = lanes.query_id AND lb.id = lanes.id GROUP BY lb.query_id"""
 )
@@ -222,7 +222,8 @@ def r9_evaluation(t: Tables) -> DataFrame:
     labels = a.withColumn("query_id", F.floor(F.col("id") / 1000)).groupBy("query_id").agg(F.min("id").alias("id")).join(u.select("query_id").distinct(), "query_id", "left_semi")
     lanes = _lanes(t)
     fused = R.rrf(lanes, 2, 5).select(F.lit("rrf").alias("lane"), "query_id", "id", "rank")
-    return R.evaluate(lanes.unionByName(fused), labels, ["sparse", "rerank", "rrf"], 5)
+    names = ["sparse", "rerank", "rrf"]
+    return R.evaluate(lanes.unionByName(fused), labels, names, 5).fillna(0, names)
 
 
 @query(
