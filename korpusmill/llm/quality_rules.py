@@ -132,27 +132,40 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4_000, doc_id: str = "do
     Without labelled rows of both kinds the model gives every text the smoothed share of label 1.
     """
     sample = labelled_sample(docs, labels, most, doc_id=doc_id, text=text)
-    rows = map_batches(sample, _features, f"id {sample.schema['id'].dataType.simpleString()}, at array<int>, value array<float>, label int").toPandas()
-    rows = rows.assign(n=[len(a) for a in rows["at"]]).sort_values(["id", "n"], kind="stable")
-    y = rows.label.to_numpy().astype(np.float32)
+    rows = map_batches(sample, _features, f"id {sample.schema['id'].dataType.simpleString()}, at array<int>, value array<float>, label int").toArrow().combine_chunks()
+    y = rows.column("label").to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2 or len(y) < 10:
         p = (y.sum() + 1) / (len(y) + 2)
         return NgramModel(np.zeros(WORDS), np.zeros(CHARS), float(np.log(p / (1 - p))))
-    x = np.zeros((len(y), WORDS + CHARS), np.float32)
-    for i, (a, v) in enumerate(zip(rows["at"], rows["value"], strict=True)):
-        x[i, a] = v
-    train, held = split(len(y), 0.2, seed)
-    scale = 1 / (x[train].std(axis=0) + 1e-4)  # rare n-grams stay small
-    x *= scale
-    weights, bias = np.zeros(x.shape[1], np.float32), np.zeros(1, np.float32)
+    lists = rows.column("at").combine_chunks()
+    cuts = lists.offsets.to_numpy().astype(np.int64)
+    at, value = lists.values.to_numpy(), rows.column("value").combine_chunks().values.to_numpy()
+    order = np.lexsort((np.diff(cuts), np.array(rows.column("id").to_pylist())))  # the same order on every run
+    train, held = (order[k] for k in split(len(y), 0.2, seed))
+
+    def sums(k: np.ndarray, x: np.ndarray) -> np.ndarray:
+        i = np.concatenate([np.arange(cuts[j], cuts[j + 1]) for j in k])
+        return np.bincount(at[i], x[i], WORDS + CHARS) / len(k)
+
+    spread = np.sqrt(np.maximum(sums(train, value.astype(np.float64) ** 2) - sums(train, value) ** 2, 0))
+    scale = (1 / (spread + 1e-4)).astype(np.float32)  # rare n-grams stay small
+
+    def dense(k: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(k), WORDS + CHARS), np.float32)
+        for i, j in enumerate(k):
+            x[i, at[cuts[j] : cuts[j + 1]]] = value[cuts[j] : cuts[j + 1]]
+        return x * scale
+
+    weights, bias = np.zeros(WORDS + CHARS, np.float32), np.zeros(1, np.float32)
     adam, rng = Adam([weights, bias], 2e-3), np.random.default_rng(seed)
     for _ in range(epochs):
-        order = rng.permutation(train)
-        for i in range(0, len(order), 128):
-            k = order[i : i + 128]
-            g = (sigmoid(x[k] @ weights + bias) - y[k]) / len(k)
-            adam.step([x[k].T @ g + 1e-4 * weights, g.sum(keepdims=True)])
-    logit = x[held] @ weights + bias
+        shuffled = rng.permutation(train)
+        for i in range(0, len(shuffled), 128):  # a batch at a time is dense
+            k = shuffled[i : i + 128]
+            x = dense(k)
+            g = (sigmoid(x @ weights + bias) - y[k]) / len(k)
+            adam.step([x.T @ g + 1e-4 * weights, g.sum(keepdims=True)])
+    logit = np.concatenate([dense(held[i : i + 128]) @ weights for i in range(0, len(held), 128)]) + bias
     line = np.array([1.0, 0.0])
     for _ in range(25):  # Newton steps for slope and shift
         p = sigmoid(line[0] * logit + line[1])
