@@ -77,42 +77,24 @@ def parse(page: str) -> Node:
                 leaf.n_tags, leaf.blocks = tags, 1
         linked = tags = 0
 
-    at, skip = 0, ""
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
-            continue
-        name = m[2].lower() if m[2] else ""
-        if skip:
-            if not (m[1] and name == skip) and not (skip == "head" and name == "body"):
-                if name in ("script", "style") and not m[1] and skip == "head":
-                    close = page.lower().find(f"</{name}", m.end()) if len(page) < 4096 else _find(page, name, m.end())
-                    at = len(page) if close < 0 else close
-                else:
-                    at = m.end()
-                continue
-            ended, skip = skip, ""
-            at = m.end()
-            if not (ended == "head" and name == "body"):
-                continue
-        elif m.start() > at:
+    at = 0
+    while m := MARKUP.search(page, at):
+        if m.start() > at:
             piece = page[at : m.start()]
             run.append(piece)
             if in_link:
                 linked += len(piece)
         at = m.end()
-        if not name:
+        if not m[2]:
             continue
+        name = m[2].lower()
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
                 if name not in ("button", "option"):
                     flush()
-                if name in ("script", "style", "title", "textarea"):
-                    close = _find(page, name, m.end())
-                    at = len(page) if close < 0 else close
-                    if close >= 0:
-                        skip = name
-                elif _find(page, name, m.end()) >= 0:
-                    skip = name
+                close = _find(page, name, at)
+                if close >= 0 or name in ("script", "style", "title", "textarea"):
+                    at = close if close >= 0 else len(page)
             continue
         if name in INLINE:
             tags += 1
@@ -144,13 +126,13 @@ def parse(page: str) -> Node:
             stack.append(Node(name, stack[-1], m[3]))
         if m[3].endswith("/"):
             stack.pop()
-    if not skip and at < len(page):
+    if at < len(page):
         run.append(page[at:])
     flush()
     return root
 
 
-_CLOSE = {n: re.compile(f"</{n}", re.I) for n in RAW}
+_CLOSE = {n: re.compile(f"</{n}" + "|<body" * (n == "head"), re.I) for n in RAW}
 
 
 def _find(page: str, name: str, at: int) -> int:
