@@ -83,7 +83,7 @@ def snippet(c: Column, cap: int = 800) -> Column:
     parts = F.split(c, r"(?m)^## ")
     section = F.get(parts, F.lit(1))
     head = F.substring_index(section, "\n", 1)
-    rest = F.ltrim(F.substr(section, F.length(head) + 2, F.length(section)))
+    rest = F.regexp_replace(F.substr(section, F.length(head) + 2, F.length(section)), r"^\s+", "")
     paragraph = F.substring_index(rest, "\n", 1)
     whole = F.trim(F.when(section.isNull(), c).otherwise(F.concat(F.get(parts, F.lit(0)), F.lit("## "), head, F.lit("\n"), paragraph)))
     return F.when(F.length(whole) > cap, F.concat(F.regexp_replace(F.substring(whole, 1, cap), r"\s+\S*$", ""), F.lit("..."))).otherwise(whole)

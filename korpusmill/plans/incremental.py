@@ -99,10 +99,10 @@ def t8_streamed_rates(t: Tables) -> DataFrame:
     return I.stream_to_memory(I.event_rates(stream, "1 day"), f"rates_{uuid.uuid4().hex[:8]}")
 
 
-@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) AS k FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 90)) WHERE k = 1")
+@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) AS k FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 300)) WHERE k = 1")
 def t5_apply_once(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_id", "event_type")
-    return I.apply_once(e, t.events.filter("value > 90").select("user_id"), "user_id").select("event_id", "user_id")
+    return I.apply_once(e, t.events.filter("value > 300").select("user_id"), "user_id").select("event_id", "user_id")
 
 
 @query("""WITH RECURSIVE x AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'fail' WHEN 'signup' THEN CASE WHEN value > 45 THEN 'cancel' ELSE 'other' END ELSE 'other' END AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

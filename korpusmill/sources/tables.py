@@ -20,7 +20,7 @@ def _parts(path: Column, n: int) -> Column:
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Documents of ``root/<collection>/<slug>/{summary.md,meta.json}``; folders that lack one of the two are left out. Missing metadata gets defaults."""
-    text = spark.read.option("wholetext", True).text(f"{root}/*/*/summary.md").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("p"))
+    text = spark.read.text(f"{root}/*/*/summary.md", wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("p"))
     meta = spark.read.schema(META).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/*/meta.json").withColumn("p", F.col("_metadata.file_path"))
     folder = lambda p: F.regexp_replace(p, "/[^/]*$", "")
     both = text.withColumn("f", folder(F.col("p"))).drop("p").join(meta.withColumn("f", folder(F.col("p"))).drop("p"), "f")
@@ -53,7 +53,7 @@ def yaml_list(front: Column, key: str) -> Column:
 
 def scan_pages(spark: SparkSession, root: str) -> DataFrame:
     """Markdown pages below ``root`` but README files; pages without id, type or name are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     raw = raw.select(F.col("value").alias("v"), F.col("_metadata.file_path").alias("file_path")).filter(~F.rlike("file_path", F.lit("(?i)/readme\\.md$")))
     f = frontmatter(F.col("v"))
     return raw.select(

@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from korpusmill.sources.tables import upsert
 
 
+def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """``df`` with a watermark; event time is a timestamp of the session's zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def pending(docs: DataFrame, ledger: DataFrame, key: str = "doc_id", everything: bool = False, limit: int | None = None) -> DataFrame:
     """Documents that the ledger does not hold, all of them on demand; the first ``limit`` by key if given."""
     out = docs if everything else docs.join(ledger.select(key).distinct(), key, "left_anti")
@@ -21,14 +26,14 @@ def first_last(runs: DataFrame, key: str, run: str) -> DataFrame:
 
 def event_rates(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str | None = None, ts: str = "ts", kind: str = "event_type") -> DataFrame:
     """Counts and sums per window and kind; with ``late``, rows later than that behind the newest are left out of a stream."""
-    src = events.withWatermark(ts, late) if late else events
+    src = _timed(events, ts, late) if late else events
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     out = src.groupBy(w, kind).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
     return out.select(F.col("window.start").alias("start"), kind, "n", "value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", user: str = "user_id", ts: str = "ts", late: str | None = None) -> DataFrame:
-    src = events.withWatermark(ts, late) if late else events
+    src = _timed(events, ts, late) if late else events
     out = src.groupBy(F.session_window(ts, gap).alias("s"), user).agg(F.count("*").alias("n"))
     return out.select(user, F.col("s.start").alias("start"), "n")
 
@@ -59,7 +64,7 @@ def stream_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFr
 
 def dedupe_open(requests: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
     """The first request of equal keys in a stream, remembered as long as ``late``."""
-    return requests.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return _timed(requests, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def apply_once(new: DataFrame, applied: DataFrame, key: str) -> DataFrame:
