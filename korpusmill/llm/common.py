@@ -120,13 +120,14 @@ _BYTE = scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD
 
 
 class SpanHash:
-    """64-bit polynomial hashes of any spans of one byte array, each in constant time."""
+    """64-bit polynomial hashes of any spans of one byte array, each in constant time; another hash for each ``salt``."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, salt: int = 0):
         n = len(data)
         up, self.down = _power(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=self.sums[1:])
+        table = scramble(_BYTE + np.uint64(salt)) if salt else _BYTE
+        np.cumsum(table[data] * up[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return scramble((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))

@@ -174,51 +174,59 @@ def _compare(length: int):
 
 
 def _texts(length: int):
-    """Third step: the text of the spans to sort. Windows of crowded anchors go singly, by their hash, once for each task."""
+    """Third step: the text of the spans to sort. Windows of crowded anchors go singly, as two hashes, once for each task."""
+
+    def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held)
+        x = x[np.lexsort((x["a"], x["th"], x["id"], x["other"], x["key"]))]
+        again = np.append(False, (x["key"][1:] == x["key"][:-1]) & (x["other"][1:] == x["other"][:-1]))
+        same_place = np.append(False, (x["id"][1:] == x["id"][:-1]) & (x["th"][1:] == x["th"][:-1]) & (x["a"][1:] == x["a"][:-1])) & again
+        x, again = x[~same_place], again[~same_place]
+        other = x["other"].astype(np.uint64).view("V8")
+        yield _rows(x["key"], x["id"], x["th"], x["a"], np.where(again, 0, SINGLE), pa.array([v.tobytes() for v in other], pa.binary()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple] = {}
+        held, n = [], 0
         for b in batches:
             out: list[tuple] = []
             for id_, th, text, finds in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if not finds:
+                todo = [f for f in finds or () if f["kind"] != REPEAT]
+                if not todo:
                     continue
                 data = text.encode()
-                for f in finds:
-                    if f["kind"] == NARROW:
-                        out.append((f["key"], id_, th, f["a"], f["b"], data[f["a"] : f["a"] + f["b"] - 1 + length]))
-                    elif f["kind"] == WIDE:
-                        part = np.frombuffer(data[f["a"] : f["a"] + f["b"] - 1 + length], np.uint8)
-                        at = np.arange(f["b"])
-                        for i, h in enumerate(SpanHash(part)(at, at + length).view(np.int64).tolist()):
-                            place, old = (id_, th, f["a"] + i), seen.get(h)
-                            if old is None:
-                                seen[h] = (*place, part[i : i + length].tobytes())
-                            elif place != old[:3]:
-                                if place < old[:3]:
-                                    seen[h], place = (*place, old[3]), old[:3]
-                                out.append((place[0], *place, 0, b""))  # a repeat
-            if len(seen) * (length + 200) > CHUNK * 32:
-                out += [(h, *v[:3], 1, v[3]) for h, v in seen.items()]
-                seen = {}
+                wide = [f for f in todo if f["kind"] == WIDE]
+                out += [(f["key"], id_, th, f["a"], f["b"], data[f["a"] : f["a"] + f["b"] - 1 + length]) for f in todo if f["kind"] == NARROW]
+                if wide:
+                    raw = np.frombuffer(data, np.uint8)
+                    at = np.concatenate([np.arange(f["a"], f["a"] + f["b"]) for f in wide])
+                    x = np.zeros(len(at), WINDOW)
+                    x["key"], x["other"] = SpanHash(raw)(at, at + length).view(np.int64), SpanHash(raw, 1)(at, at + length)
+                    x["id"], x["th"], x["a"] = id_, th, at
+                    held.append(x)
+                    n += len(x)
             if out:
-                yield _rows(out)
-        if seen:
-            yield _rows([(h, *v[:3], 1, v[3]) for h, v in seen.items()])
+                yield _rows(*zip(*out, strict=True))
+            if n >= HELD:
+                yield from send(held)
+                held, n = [], 0
+        if n:
+            yield from send(held)
 
     return run
 
 
+#: A window by itself, by two hashes of its text.
+WINDOW, SINGLE = np.dtype([("key", "i8"), ("other", "u8"), ("id", "i8"), ("th", "i4"), ("a", "i4")]), -1
 SORTED = "key long, id long, th int, a int, w int, text binary"
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
+def _rows(*columns) -> pa.RecordBatch:
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["key", "id", "th", "a", "w", "text"])
+    return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "id", "th", "a", "w", "text"])
 
 
 def _sort(length: int):
-    """Fourth step: suffix-sort the spans that may share windows; every window but the first of its equals is a repeat."""
+    """Fourth step: suffix-sort the spans that may share windows; every window but the first of its equals is a repeat. Single windows are compared by their hashes."""
 
     def chunk(keys, ids, ths, at, w, parts) -> np.ndarray:
         text = np.frombuffer(b"".join(parts), np.uint8)
@@ -249,8 +257,15 @@ def _sort(length: int):
         text = whole.column(5).combine_chunks()
         r = w == 0
         yield _finds(ids[r], ths[r], at[r], at[r] + length, REPEAT, 0)
+        one = np.flatnonzero(w == SINGLE)
+        if len(one):
+            other = np.frombuffer(b"".join(text.take(pa.array(one)).to_pylist()), np.uint64)
+            by = np.lexsort((at[one], ths[one], ids[one], other, keys[one]))
+            one, other = one[by], other[by]
+            k = one[1:][(keys[one][1:] == keys[one][:-1]) & (other[1:] == other[:-1]) & ((ids[one][1:] != ids[one][:-1]) | (ths[one][1:] != ths[one][:-1]) | (at[one][1:] != at[one][:-1]))]
+            yield _finds(ids[k], ths[k], at[k], at[k] + length, REPEAT, 0)
         order = np.argsort(keys, kind="stable")
-        order = order[~r[order]]
+        order = order[w[order] > 0]
         if not len(order):
             return
         sizes = np.cumsum(w[order] + length - 1)
