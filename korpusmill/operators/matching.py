@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions import text as T
 from korpusmill.operators.retrieval import dense_topk
 
 
-def ngrams(df: DataFrame, id_col: str, text: str, most: int) -> DataFrame:
-    """Distinct (id, gram) of one to ``most`` words, lower-case and without accents."""
-    words = F.filter(F.split(fold_words(F.col(text)), " "), lambda w: w != "")
-    base = df.select(F.col(id_col), words.alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    return base.select(id_col, F.explode(F.array_distinct(grams)).alias("gram"))
+def words(text: Column) -> Column:
+    return F.filter(F.split(fold_words(text), " "), lambda w: w != "")
 
 
-def fold_words(c):
+def ngrams(df: DataFrame, id_col: str, text: str, lengths: list[int]) -> DataFrame:
+    """Distinct (id, gram): hashes of the runs of as many words as ``lengths`` say, lower-case and without accents."""
+    hashed = df.select(F.col(id_col), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
+    run = lambda n: F.when(F.size("h") >= n, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+    return hashed.select(id_col, F.explode(F.array_distinct(F.concat(*[run(n) for n in lengths]))).alias("gram"))
+
+
+def fold_words(c: Column) -> Column:
     return F.regexp_replace(T.fold(F.lower(c)), r"[^\p{L}\p{N}]+", " ")
 
 
 def scan_aliases(docs: DataFrame, aliases: DataFrame, stop: list[str] = [], least: int = 4, most_words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B006
     """(page_id, doc_id) for each alias that stands in a document as whole words, case and accents aside.
 
-    Documents become n-grams and join the aliases by equality, so the work grows with both sides, not with their product.
+    Documents become hashed runs of words, of the lengths that aliases have, and join the aliases by equality, so the work
+    grows with both sides, not with their product. Words and runs are told apart by 64 bits.
     Aliases shorter than ``least`` count only if canonical; stop words never do.
     """
-    key = F.trim(fold_words(F.col("alias")))
-    table = aliases.select("page_id", key.alias("gram"), F.coalesce("canonical", F.lit(False)).alias("canonical"))
-    table = table.filter(((F.length("gram") >= least) | F.col("canonical")) & ~F.col("gram").isin(*stop) & (F.col("gram") != "")).filter(F.size(F.split("gram", " ")) <= most_words).select("page_id", "gram").distinct()
-    return ngrams(docs, doc_id, text, most_words).join(table, "gram").select("page_id", doc_id).distinct()
+    key = F.array_join(words(F.col("alias")), " ")
+    table = aliases.select("page_id", key.alias("key"), F.coalesce("canonical", F.lit(False)).alias("canonical"))
+    table = table.filter(((F.length("key") >= least) | F.col("canonical")) & ~F.col("key").isin(*stop) & (F.col("key") != ""))
+    table = table.select("page_id", F.transform(F.split("key", " "), lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") <= most_words).distinct()
+    lengths = sorted(r.n for r in table.select(F.size("h").alias("n")).distinct().collect())  # most_words numbers at most
+    if not lengths:
+        return table.join(docs.select(F.col(doc_id)), F.lit(False)).select("page_id", doc_id)
+    gram = F.coalesce(*[F.when(F.size("h") == n, F.xxhash64(*[F.get("h", F.lit(j)) for j in range(n)])) for n in lengths])
+    return ngrams(docs, doc_id, text, lengths).join(table.select("page_id", gram.alias("gram")), "gram").select("page_id", doc_id).distinct()
 
 
 def ledger(entries: DataFrame, terms: DataFrame, entry: str = "entry_id", surface: str = "surface_form", least: int = 4) -> DataFrame:

@@ -15,8 +15,7 @@ FOLDED = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúû
 
 def heads(t: Tables) -> DataFrame:
     """The first three words of each benchmark item, as an alias of the item."""
-    w = F.filter(F.split(M.fold_words(F.col("text")), " "), lambda x: x != "")
-    return t.benchmark.select(F.col("item_id").alias("page_id"), F.array_join(F.slice(w, 1, 3), " ").alias("alias"), F.lit(False).alias("canonical"))
+    return t.benchmark.select(F.col("item_id").alias("page_id"), F.array_join(F.slice(M.words(F.col("text")), 1, 3), " ").alias("alias"), F.lit(False).alias("canonical"))
 
 
 @query(
