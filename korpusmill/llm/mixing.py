@@ -30,9 +30,9 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5,
     else:
         w = weights.groupBy(F.col("source").alias("of")).agg(F.sum("weight").cast("double").alias("weight"))
         size = size.join(w, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "bytes", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    whole = size.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    mean = F.when(F.col("all_weight") > 0, epochs * F.col("all_bytes") * F.col("weight") / F.col("all_weight") / F.col("bytes")).otherwise(0.0)
-    out = size.crossJoin(F.broadcast(whole)).select("source", "bytes", mean.alias("rate"))  # one row
+    whole = size.agg(F.sum("bytes").cast("double").alias("bytes"), F.sum("weight").alias("weight")).first()
+    share = epochs * (whole.bytes or 0.0) * F.col("weight") / F.lit(whole.weight or 1.0) / F.col("bytes")
+    out = size.select("source", "bytes", share.alias("rate"))
     out = out.withColumn("parts", F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int"))
     part = F.col("rate") / F.col("parts")
     last = F.ceil(part + 12 * F.sqrt(part) + 20).cast("int")
