@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from korpusmill.functions import text as T
+
 #: How far each weight of an edge comes forward; weaker edges last.
 WEIGHTS = ("canonical", "strong", "tangential")
 
@@ -71,33 +73,37 @@ def checks(pages: DataFrame, relations: DataFrame, types: DataFrame) -> DataFram
     return unknown.unionByName(twice).unionByName(alone)
 
 
+def _typed(relations: DataFrame, pages: DataFrame, types: DataFrame) -> DataFrame:
+    """Edges with what the dictionary (type, from_types, to_types, inverse) and the pages say of them, in one pass.
+
+    ``known``: the type is in the dictionary; ``target``: the target is a page; ``bad_from``, ``bad_to``: an end is of a page
+    type that the dictionary does not allow ("any" and an empty list allow all).
+    """
+    kind = pages.groupBy("page_id").agg(F.min("page_type").alias("page_type"))
+    src, dst = kind.toDF("from_page_id", "from_type"), kind.toDF("to_page_id", "to_type").withColumn("target", F.lit(True))
+    e = relations.join(F.broadcast(types.select("type", "from_types", "to_types", F.lit(True).alias("known"))), "type", "left").join(src, "from_page_id", "left").join(dst, "to_page_id", "left")
+    bad = lambda side, allowed: F.coalesce(F.col(side).isNotNull() & (F.size(allowed) > 0) & ~F.array_contains(allowed, "any") & ~F.array_contains(F.col(allowed), F.col(side)), F.lit(False))
+    return e.select("from_page_id", "type", "to_page_id", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("target", F.lit(False)).alias("target"), bad("from_type", "from_types").alias("bad_from"), bad("to_type", "to_types").alias("bad_to"))
+
+
 def type_conflicts(relations: DataFrame, pages: DataFrame, types: DataFrame) -> DataFrame:
-    """Edges whose ends are of page types that the dictionary (type, from_types, to_types, inverse) does not allow; "any" and no entry allow all."""
-    kind = pages.select("page_id", "page_type")
-    src, dst = kind.toDF("from_page_id", "from_type"), kind.toDF("to_page_id", "to_type")
-    e = relations.join(F.broadcast(types.select("type", "from_types", "to_types")), "type").join(src, "from_page_id", "left").join(dst, "to_page_id", "left")
-    bad = lambda side, allowed: F.col(side).isNotNull() & (F.size(allowed) > 0) & ~F.array_contains(allowed, "any") & ~F.array_contains(F.col(allowed), F.col(side))
-    e = e.select("from_page_id", "type", "to_page_id", bad("from_type", "from_types").alias("bad_from"), bad("to_type", "to_types").alias("bad_to"))
-    return e.filter("bad_from or bad_to")
+    """Edges whose ends are of page types that the dictionary does not allow."""
+    return _typed(relations, pages, types).filter("bad_from or bad_to").select("from_page_id", "type", "to_page_id", "bad_from", "bad_to")
 
 
 def validate(pages: DataFrame, relations: DataFrame, types: DataFrame) -> DataFrame:
     """Findings (severity, rule, n): ids and types that are missing or malformed, targets that are not pages, disallowed ends, missing reciprocals."""
-    tag = lambda df, severity, rule: df.agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), "n")
-    ids = pages.select(F.col("page_id").alias("to_page_id"))
-    parts = [
-        tag(pages.filter(~F.rlike("page_id", F.lit("^[a-z0-9][a-z0-9_-]*$"))), "error", "malformed_id"),
-        tag(relations.filter("type is null or to_page_id is null"), "error", "incomplete_edge"),
-        tag(relations.join(types.select("type"), "type", "left_anti"), "error", "unknown_type"),
-        tag(pages.groupBy("page_id").count().filter("count > 1"), "error", "duplicate_id"),
-        tag(type_conflicts(relations, pages, types), "warning", "page_type"),
-        tag(relations.filter("from_page_id <> to_page_id").join(ids, "to_page_id", "left_anti"), "warning", "missing_target"),
-        tag(missing_reciprocals(relations, types), "warning", "missing_reciprocal"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    col = lambda severity, rule, n: F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), n.alias("n"))
+    rows = lambda df, *cols: df.agg(F.array(*cols).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    of_pages = rows(
+        pages.groupBy("page_id").agg(F.count("*").alias("k")),
+        col("error", "malformed_id", F.coalesce(F.sum(F.when(~F.rlike("page_id", F.lit("^[a-z0-9][a-z0-9_-]*$")), F.col("k")).otherwise(0)), F.lit(0))), col("error", "duplicate_id", F.count_if(F.col("k") > 1)),
+    )
+    of_edges = rows(
+        _typed(relations, pages, types), col("error", "incomplete_edge", F.count_if(F.col("type").isNull() | F.col("to_page_id").isNull())), col("error", "unknown_type", F.count_if(~F.col("known"))),
+        col("warning", "page_type", F.count_if(F.col("bad_from") | F.col("bad_to"))), col("warning", "missing_target", F.count_if(~F.col("target") & (F.col("from_page_id") != F.col("to_page_id")))),
+    )
+    return of_pages.unionByName(of_edges).unionByName(rows(missing_reciprocals(relations, types), col("warning", "missing_reciprocal", F.count("*"))))
 
 
 def inverse_edges(relations: DataFrame, types: DataFrame) -> DataFrame:
@@ -138,6 +144,13 @@ def hydrate(ids: DataFrame, pages: DataFrame, aliases: DataFrame, relations: Dat
     return some.join(a, "page_id", "left").join(r, "page_id", "left").select("page_id", "page_type", "canonical_name", *[F.array_join(F.coalesce(c, none), ",").alias(c) for c in ("aliases", "targets", "types")])
 
 
+def page_get(ids: DataFrame, pages: DataFrame, body: str = "body", trim: bool = True) -> DataFrame:
+    """Each id asked for with its page, without the citations section on demand, how much that saved, and an error where there is none."""
+    text = T.trim_section(F.col(body)) if trim else F.col(body)
+    out = ids.select("page_id").distinct().join(pages.select("page_id", F.col(body).alias(body)), "page_id", "left")
+    return out.select("page_id", text.alias(body), (F.length(body) - F.length(text)).alias("n_trimmed"), F.when(F.col(body).isNull(), "not found").alias("error"))
+
+
 def domain_facets(pages: DataFrame, column: str = "domain") -> DataFrame:
     """Pages per level of a dotted domain, with subtotals (null below the level counted)."""
     parts = F.split(F.col(column), r"\.")

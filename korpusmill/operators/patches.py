@@ -101,6 +101,14 @@ def apply_updates(pages: DataFrame, updates: DataFrame, limit: int | None = None
     return both.select("page_id", "text", "ups").mapInPandas(fold, f"page_id {kind}, new_text string, n_applied int, log string, status string")
 
 
+def replay(pages: DataFrame, records: DataFrame, limit: int | None = None) -> DataFrame:
+    """:func:`apply_updates` for logged updates (page_id, mtime, file, idx, kind, anchor, content) in the order they were written."""
+    from pyspark.sql import Window as W
+
+    seq = F.row_number().over(W.partitionBy("page_id").orderBy("mtime", "file", "idx"))
+    return apply_updates(pages, records.withColumn("seq", seq).select("page_id", "seq", "kind", "anchor", "content"), limit)
+
+
 def over_limit(updates: DataFrame, limit: int) -> DataFrame:
     return updates.groupBy("page_id").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
 

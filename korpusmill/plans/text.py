@@ -262,3 +262,21 @@ def s18_migrate(t: Tables) -> DataFrame:
 @query("SELECT doc_id, text, floor(length(text) / 4) AS est_tokens, coalesce(lang, 'unknown') AS category FROM documents")
 def s2_documents(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "text", F.floor(F.length("text") / 4).cast("double").alias("est_tokens"), F.coalesce("lang", F.lit("unknown")).alias("category"))
+
+
+@query(MD + r"""SELECT u.user_id AS page_id, coalesce(length(regexp_replace(body, '(?ims)^##\s+(?:Citations?|Citas|Referencias|References|Fuentes)[ \t]*$.*', '')), -1) AS n, body IS NULL AS missing FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN md ON md.conv_id = u.user_id""")
+def r13_page_get(t: Tables) -> DataFrame:
+    from korpusmill.operators.graph import page_get
+
+    out = page_get(t.events.select(F.col("user_id").alias("page_id")), markdown(t).withColumnRenamed("conv_id", "page_id"))
+    return out.select("page_id", F.coalesce(F.length("body"), F.lit(-1)).cast("long").alias("n"), F.col("error").isNotNull().alias("missing"))
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM benchmark),
+c AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS d, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT item_id, count(*) AS n_dims, round(max(n) / sqrt(sum(n * n)), 6) AS largest FROM c GROUP BY 1""")
+def x1_hash_embedding(t: Tables) -> DataFrame:
+    from korpusmill.functions.vectors import hash_embedding
+
+    v = t.benchmark.select("item_id", hash_embedding(F.col("text")).alias("v"))
+    return v.select("item_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_dims"), F.round(F.array_max("v"), 6).alias("largest"))

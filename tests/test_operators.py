@@ -132,6 +132,12 @@ def test_ordered_updates(spark):
     assert {r.page_id: r.status for r in patches.apply_updates(pages, ups, 1).collect()}[1] == "over_limit"
 
 
+def test_replay_order(spark):
+    pages = spark.createDataFrame([(1, "a")], "page_id int, text string")
+    rec = spark.createDataFrame([(1, 2, "f", 0, "replace", "b", "c"), (1, 1, "g", 1, "extend", "x", "y"), (1, 1, "g", 0, "replace", "a", "b x")], "page_id int, mtime int, file string, idx int, kind string, anchor string, content string")
+    assert patches.replay(pages, rec).first().new_text == "c x y"
+
+
 def test_queue(spark):
     ev = [(1, i, e) for i, e in enumerate(["start", "fail"] * 4 + ["start"])] + [(2, 0, "start"), (2, 1, "done"), (2, 2, "cancel")] + [(3, 0, "cancel"), (3, 1, "start")] + [(4, 0, "start"), (4, 1, "fail")]
     out = {r.k: (r.state, r.retries, r.wait_s) for r in projects.fold_states(spark.createDataFrame(ev, "k int, t int, e string"), "k", ["t"], "e").collect()}
