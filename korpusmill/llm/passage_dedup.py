@@ -26,9 +26,9 @@ from korpusmill.llm.suffix_sort import equal_prefixes
 ANCHOR, ROUTES = 32, 4096
 #: Spans held by a task of the first step before it sends them on; different spans of one anchor, seen by one task of the
 #: first step or met in the second, from which the anchor counts as crowded.
-HELD, LOCAL, CROWD = 3_000_000, 16, 2_000
+HELD, LOCAL, CROWD = 1_500_000, 16, 2_000
 #: Text sorted at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 SPAN = np.dtype([("s", "u8"), ("u", "u8"), ("id", "i8"), ("l", "i4"), ("th", "i4"), ("w", "u1"), ("kind", "u1")])
 PLAIN, SPREAD, MARK = 0, 1, 2  # kinds of entries: by anchor; of a crowded anchor, by span; sign that an anchor is crowded

@@ -25,7 +25,7 @@ def suffix_array(text: np.ndarray, enough: int) -> np.ndarray:
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     packed = _pack(s, sample)
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     name = np.empty(len(sample), np.int64)
     name[order] = np.concatenate([[0], np.cumsum(packed[order][1:] != packed[order][:-1])])
     if enough > 3 and name[order[-1]] + 1 < len(sample):
@@ -37,22 +37,12 @@ def suffix_array(text: np.ndarray, enough: int) -> np.ndarray:
     sorted_sample = sample[order]
     sorted_sample = sorted_sample[sorted_sample < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort((s[zero] << np.uint64(32)) | rank[zero + 1].astype(np.uint64), kind="stable")]
-    # where each of the others goes among the sample: binary search for all at once
-    low, high = np.zeros(len(zero), np.int64), np.full(len(zero), len(sorted_sample))
-    by_one = (s[zero] << np.uint64(32)) | rank[zero + 1].astype(np.uint64)
-    by_two = (s[zero] << np.uint64(43)) | (s[zero + 1] << np.uint64(22)) | rank[zero + 2].astype(np.uint64)
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        mid = (low[open_] + high[open_]) // 2
-        j = sorted_sample[mid]
-        first = j % 3 == 1
-        other = np.where(first, (s[j] << np.uint64(32)) | rank[j + 1].astype(np.uint64), (s[j] << np.uint64(43)) | (s[j + 1] << np.uint64(22)) | rank[j + 2].astype(np.uint64))
-        after = other < np.where(first, by_one[open_], by_two[open_])
-        low[open_[after]] = mid[after] + 1
-        high[open_[~after]] = mid[~after]
+    zero = zero[np.argsort((s[zero] << np.uint64(32)) | rank[zero + 1].astype(np.uint64))]
+    # where each of the others goes among the sample: those at 1 and at 2 modulo 3 are each in the order of a key of their own
+    key_one = lambda i: (s[i] << np.uint64(32)) | rank[i + 1].astype(np.uint64)
+    key_two = lambda i: (s[i] << np.uint64(43)) | (s[i + 1] << np.uint64(22)) | rank[i + 2].astype(np.uint64)
+    ones, twos = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
+    low = np.searchsorted(key_one(ones), key_one(zero)) + np.searchsorted(key_two(twos), key_two(zero))
     out = np.empty(n, np.int64)
     # suffixes equal in what was compared may come in any order, so the searches may cross
     where = np.maximum.accumulate(low) + np.arange(len(zero)) if len(zero) else low
