@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from korpusmill.functions.batches import map_batches
 
@@ -21,10 +21,29 @@ def _block(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(df: DataFrame, id_col: str, size: int, name: str) -> DataFrame:
-    """Rows of at most about ``size`` (id, vector) pairs."""
+    """Rows of ``size`` (id, vector) pairs, or what is left of a partition; nothing is moved."""
     some = df.filter(F.col("vector").isNotNull()).select(F.col(id_col).alias("id"), "vector")
-    n = max(1, -(-some.count() // size))
-    return some.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "vector")).alias(name)).select(name)
+
+    def pack(batches):
+        held, n = [], 0
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                part = b.slice(i, size)
+                held.append(part)
+                n += part.num_rows
+                if n >= size:
+                    yield _packed(held, name)
+                    held, n = [], 0
+        if n:
+            yield _packed(held, name)
+
+    return map_batches(some, pack, StructType([StructField(name, ArrayType(StructType(some.schema.fields)))]))
+
+
+def _packed(held: list[pa.RecordBatch], name: str) -> pa.RecordBatch:
+    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    pairs = pa.StructArray.from_arrays(whole.columns, ["id", "vector"])
+    return pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)], [name])
 
 
 def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str) -> DataFrame:
@@ -36,7 +55,7 @@ def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str) -> DataFra
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, floor: float | None = None, skip_self: bool = True, block: int = 2048) -> DataFrame:
     """Cosine top-k of every query (``query_id``, ``vector``) over ``corpus`` (``id``, ``vector``), unit vectors.
 
-    Both sides are cut into blocks of about ``block`` vectors. A task takes a pair of blocks, multiplies the matrices and
+    Both sides are cut into blocks of ``block`` vectors at the most. A task takes a pair of blocks, multiplies the matrices and
     passes on k candidates a query (more where scores tie); a window over the candidates finishes. Filters belong on
     ``corpus`` before the call, so that they reach the scan. Rows without a vector are left out.
     """
