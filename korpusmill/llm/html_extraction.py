@@ -149,12 +149,14 @@ def _marked(page: str) -> tuple[np.ndarray, np.ndarray] | None:
     return (dom.features(nodes), y[1:]) if any_main else None
 
 
-def fit(pages: DataFrame, most: int = 200, layouts: int = 300, page_id: str = "page_id", html: str = "html", seed: int = 1) -> boosting.Boosted:
-    """Trees fitted on ``most`` pages of the input at the most (by a hash of their id) and on ``layouts`` made of their words.
+def fit(pages: DataFrame, most: int = 200, longest: int = 200_000, layouts: int = 300, page_id: str = "page_id", html: str = "html", seed: int = 1) -> boosting.Boosted:
+    """Trees fitted on ``most`` pages of the input at the most (by a hash of their id; none beyond ``longest`` characters) and on ``layouts`` made of their words.
 
     Pages of the input count where they mark an article or a main part themselves; layouts bring what those lack.
     """
-    rows = pages.filter(F.col(html).isNotNull()).select(F.col(html).alias("html"), F.xxhash64(F.col(page_id), F.col(html)).alias("h")).orderBy("h").limit(most).collect()
+    some = pages.filter(F.length(html) <= longest).select(F.col(html).alias("html"), F.xxhash64(F.col(page_id), F.col(html)).alias("h"))
+    chosen = some.select("h").orderBy("h").limit(most).distinct()  # most numbers at most
+    rows = some.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()
     words = [w for r in rows[:60] for n in dom.in_order(dom.parse(r.html)) for w in _WORD.findall(n.text)[:400]] or "some words of a page that has none".split()
     found = [m for r in rows if (m := _marked(r.html))] + [_labelled(p, t) for p, t in _layouts(words, layouts, seed)]
     x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
