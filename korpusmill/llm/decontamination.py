@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.llm.common import fresh
+from korpusmill.llm.common import cut, fresh
 
 #: Units that follow a number.
 UNITS = (
@@ -38,6 +38,11 @@ def _slots(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda x: F.lower(x)).alias("raw"), template(F.col(text)).alias("words"))
 
 
+def _checked(df: DataFrame, most: int) -> DataFrame:
+    """A narrow table, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, consistency: float = 0.8, broadcast_rows: int = 2_000_000,
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -50,23 +55,23 @@ def contaminated(
     values in the item have equal values in the document. An exact copy is consistent.
 
     Items of fewer than ``width`` words never match, nor do null texts; ids that are null are left out; rows that share an id
-    count together; an empty side gives an empty result. Windows of the benchmark are broadcast only if they are at most
-    ``broadcast_rows``; beyond that the join shuffles, and adaptive execution splits hot windows.
+    count together; an empty side gives an empty result. Windows of the benchmark, and ids of documents found, are broadcast
+    only if they are at most ``broadcast_rows``; beyond that the joins shuffle, and adaptive execution splits hot windows.
     """
     bench = _hashes(benchmark.filter(F.col(item_id).isNotNull()), item_id, item_text, width)
     per_item = bench.groupBy("id").agg(F.count_distinct("w").alias("n_windows"))
     bench = bench.groupBy(F.col("id").alias("item"), "w").agg(F.min("pos").alias("at")).select("item", F.col("w").alias("bw"), "at")
-    if bench.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        bench, per_item = F.broadcast(bench), F.broadcast(per_item)
+    bench, per_item = _checked(bench, broadcast_rows), _checked(per_item, broadcast_rows)
     hits = _hashes(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, width).join(bench, F.col("w") == F.col("bw")).select("id", "item", "w", (F.col("pos") - F.col("at")).alias("shift"))
     by_shift = hits.groupBy("id", "item", "shift").agg(F.collect_set("w").alias("ws"))
     pairs = by_shift.groupBy("id", "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ws")))).alias("n_matched"), F.max(F.struct(F.size("ws").alias("n"), (-F.col("shift")).alias("s"))).alias("best"),
     )
     found = pairs.join(per_item.withColumnRenamed("id", "item_"), F.col("item") == F.col("item_")).filter(F.col("n_matched") >= similarity * F.col("n_windows"))
-    found = found.select("id", "item", "n_matched", "n_windows", (-F.col("best.s")).alias("shift"))
+    found = cut(found.select("id", "item", "n_matched", "n_windows", (-F.col("best.s")).alias("shift")))
     # the texts of the few pairs found come back for their slots
-    ours = _slots(docs.join(found.select(F.col("id").alias(doc_id)).distinct(), doc_id, "left_semi"), doc_id, text).withColumnRenamed("id", "our_id")
+    wanted = _checked(found.select(F.col("id").alias(doc_id)).distinct(), broadcast_rows)
+    ours = _slots(docs.join(wanted, doc_id, "left_semi"), doc_id, text).withColumnRenamed("id", "our_id")
     theirs = _slots(benchmark, item_id, item_text).select(F.col("id").alias("their_id"), F.col("raw").alias("their_raw"), F.col("words").alias("their_words"))
     both = found.join(ours, F.col("id") == F.col("our_id")).join(theirs, F.col("item") == F.col("their_id"))
     slot = F.filter(F.sequence(F.lit(0), F.size("their_words") - 1), lambda i: F.get("their_words", i).isin("#", "@", "~"))
@@ -84,5 +89,6 @@ def contaminated(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **more) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with the same columns; rows with a null id stay."""
     name = fresh(docs, "leak")
-    leaks = contaminated(docs, benchmark, doc_id=doc_id, **more).select(F.col("doc_id").alias(name)).distinct()
+    leaks = cut(contaminated(docs, benchmark, doc_id=doc_id, **more).select(F.col("doc_id").alias(name)).distinct())
+    leaks = _checked(leaks, more.get("broadcast_rows", 2_000_000))
     return docs.join(leaks, F.col(doc_id) == F.col(name), "left_anti")
