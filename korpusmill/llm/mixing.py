@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpusmill.llm.common import fresh, text_size
+from korpusmill.llm.common import cut, fresh, text_size
 
 #: Means above this are split into equal independent parts, so that exp(-mean) stays exact.
 LARGEST_MEAN = 32
@@ -24,7 +24,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5,
     ``power``, which evens out large and small sources. Rates are such that the expected bytes of all copies are ``epochs``
     times the bytes of all documents, shared out by weight.
     """
-    size = docs.groupBy(F.col(source).alias("source")).agg(F.sum(text_size(F.col(text)) + 1).alias("bytes"))
+    size = cut(docs.groupBy(F.col(source).alias("source")).agg(F.sum(text_size(F.col(text)) + 1).alias("bytes")))  # texts are read once
     if weights is None:
         size = size.withColumn("weight", F.pow(F.col("bytes").cast("double"), F.lit(power)))
     else:
