@@ -9,6 +9,9 @@ ROUNDS = 8
 #: Dates that are permuted: this many days from 1900-01-01 on.
 DAYS, DAY_PARTS = 73_000, (250, 292)
 
+#: A name, in any case, and what may stand between it and its secret.
+SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*(?:=|:(?!:))[ \t]*"
+
 #: What is looked for, in this order at each place. Digits stand alone: none stands next to them.
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -19,7 +22,8 @@ KINDS = {
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5})(?![0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api_key)=[^\x20\x09-\x0D]+",
+    "password": rf"(?<![A-Za-z0-9]){SECRET}(?:\"(?:[^\"\\\r\n]|\\.)+\"|'(?:[^'\\\r\n]|\\.)+'|[^\x20\x09-\x0D]+)",
+    "plain": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -106,6 +110,23 @@ def _phone(m: Column, key: str) -> Column:
     return _laid_out(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new))
 
 
+def _plain(m: Column, key: str) -> Column:
+    """Numbers laid out alike that are not of the plan, as area or exchange starts with 0 or 1, stay outside it: 360,000 pairs of both."""
+    d = _digits(m)
+    n = F.substr(d, F.length(d) - 9, F.lit(10))
+    area, exchange = F.substr(n, F.lit(1), F.lit(3)).cast("long"), F.substr(n, F.lit(4), F.lit(3)).cast("long")
+    rank = F.when(area < 200, area * 1_000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+    pad = lambda x, width: F.lpad(x.cast("string"), width, F.lit("0"))
+
+    def shown(s: Column) -> Column:
+        out, more = s["l"], s["l"] - 200_000
+        both = F.when(out < 200_000, out).otherwise((F.floor(more / 200) + 200) * 1_000 + F.pmod(more, F.lit(200)))
+        return F.concat(pad(both, 6), pad(s["r"], 4))
+
+    new = let(permute(rank, F.substr(n, F.lit(7), F.lit(4)).cast("long"), F.lit(360_000), F.lit(10_000), key, "plain"), shown)
+    return _laid_out(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new))
+
+
 def _abroad(m: Column, key: str) -> Column:
     d = _digits(m)
     return _laid_out(m, F.concat(F.substr(d, F.lit(1), F.lit(1)), _permuted(F.substr(d, F.lit(2), F.length(d)), key, "abroad")))
@@ -151,6 +172,16 @@ def _tag(m: Column, key: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(key), F.lower(m)), 256)
 
 
+def _secret(m: Column, key: str) -> Column:
+    """Name, blanks and quotes stay; the digest is that of the value alone."""
+    head = F.regexp_extract(m, f"^{SECRET}[\"']?", 0)
+    quote = F.regexp_extract(m, f"^{SECRET}([\"']?)", 1)
+    rest = F.substr(m, F.length(head) + 1, F.length(m))
+    closed = (quote != "") & F.endswith(rest, quote)
+    value = F.when(closed, F.substr(rest, F.lit(1), F.length(rest) - 1)).otherwise(rest)
+    return F.concat(head, F.substring(_tag(value, key), 1, 18), F.when(closed, quote).otherwise(""))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match; a match that its check rejects stays as it is."""
     whole = lambda kind: F.rlike(m, F.lit(f"^(?:{KINDS[kind]})$"))
@@ -158,9 +189,9 @@ def pseudonym(m: Column, key: str) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")) & whole("email"), F.concat(F.substring(_tag(m, key), 1, 16), F.lit("@example.invalid")))
         .when(whole("key"), F.concat(F.lit("AKIA"), upper))
-        .when(whole("password"), F.concat(F.split_part(m, F.lit("="), F.lit(1)), F.lit("="), F.substring(_tag(m, key), 1, 18)))
+        .when(whole("password"), _secret(m, key))
         .when(whole("ip"), _ip(m, key)).when(whole("date"), _date(m, key)).when(whole("phone"), _phone(m, key))
-        .when(whole("ssn"), _ssn(m, key)).when(whole("card"), _card(m, key)).when(whole("abroad"), _abroad(m, key)).otherwise(m)
+        .when(whole("ssn"), _ssn(m, key)).when(whole("card"), _card(m, key)).when(whole("abroad"), _abroad(m, key)).when(whole("plain"), _plain(m, key)).otherwise(m)
     )
 
 
@@ -172,7 +203,9 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     with the key, originals can be had back. Email addresses, access keys and passwords get keyed digests in their format. What
     looks alike but fails its check (a wrong Luhn sum, 31 February) stays.
 
-    Null texts stay null with 0 replaced; texts without digits or "@" are not searched, but for ``name=`` secrets; an empty
+    A secret follows a name such as ``token`` in any case and ``=`` or ``:``, with or without blanks and quotes.
+
+    Null texts stay null with 0 replaced; texts without a digit, "@", "=", ":" or "AKIA" hold nothing to find; an empty
     table gives an empty result; a column of ``docs`` named ``n_replaced`` is replaced.
     """
     docs = docs.drop("n_replaced")
@@ -180,7 +213,7 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     found = F.regexp_extract_all(source, F.lit(PATTERN), F.lit(0))
     pairs = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
     parts = F.split(source, PATTERN, -1)
-    out = F.when(F.rlike(source, F.lit("[0-9@=]")), F.struct(pairs.alias("pairs"), parts.alias("parts")))
+    out = F.when(F.rlike(source, F.lit("[0-9@=:]|AKIA")), F.struct(pairs.alias("pairs"), parts.alias("parts")))
     new = F.array_join(F.zip_with("_km_hit.parts", F.transform("_km_hit.pairs", lambda p: p["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     count = F.size(F.filter("_km_hit.pairs", lambda p: p["old"] != p["new"]))
     hit = F.col("_km_hit").isNotNull()
