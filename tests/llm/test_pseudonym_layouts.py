@@ -1,6 +1,7 @@
 """Secrets and telephone numbers in every layout that the supplied documents have."""
 
 import re
+import time
 
 from korpusmill.llm import pseudonyms
 from tests.llm.test_privacy_and_leaks import run
@@ -35,3 +36,22 @@ def test_supplied_documents(spark):
     old = [(i, v) for i, t in before.items() for rx in (secret, phone) for v in re.findall(rx, t)]
     assert any("token" in v.lower() for _, v in old) and any("(" in v for _, v in old)
     assert not [v for i, v in old if v in after[i]]
+
+
+def test_very_long_tokens_in_linear_time(spark):
+    began = time.time()
+    texts = [
+        "0123456789abcdef" * 65_536, "a@" + "b." * 100_000 + "com", "a." * 100_000 + "z@b.com", "a@" + "b.1." * 100_000, "5," * 500_000, 'token="' + "x y" * 300_000 + '"', "token='" + "\\'" * 300_000 + "' 1",
+        "password" + " " * 1_000_000 + "= abc1", "+" + "1-" * 500_000, "a@" * 300_000, "70.123.182.155 " * 20_000, "key=" * 200_000,
+    ]
+    out = run(spark, *texts)
+    assert time.time() - began < 120
+    assert [n for _, n in out] == [0, 1, 1, 0, 0, 1, 1, 1, *(n for _, n in out[8:10]), 20_000, out[11][1]] and out[0][0] == texts[0] and out[4][0] == texts[4] and out[9][0] == texts[9]
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(1, "host 70.123.182.155", "mine", 3)], "doc_id long, text string, _hit string, _km_hit int")
+    out = pseudonyms.pseudonymise(df)
+    assert out.columns == [*df.columns, "n_replaced"]
+    row = out.first()
+    assert (row["_hit"], row["_km_hit"], row.n_replaced) == ("mine", 3, 1) and "70.123.182.155" not in row.text
