@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 
-#: Markup, in the order tried at each "<". Quoted attribute values may hold ">".
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Markup, in the order tried at each "<". A quote opens a value after "=" alone; quoted values may hold ">"; a tag that never ends takes the rest.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 TOKEN = re.compile(r"[a-z]+")
 
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math select option button object canvas audio video head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select option button head annotation annotation-xml".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label map mark meter object output picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var video "
+    "math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("article section div main body td th li blockquote aside".split())
 
@@ -30,53 +34,85 @@ _TAG = {t: i for i, t in enumerate(TAGS)}
 HASHED = 16
 
 
+def telling(attributes: str) -> tuple[int, int, int, bool]:
+    """Of the attributes of an element: good words, bad words, a bit for each hashed word, and whether it is hidden."""
+    good = bad = hashed = 0
+    hidden = False
+    for name, value in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in ("class", "id", "role", "itemprop", "aria-label"):
+            words = TOKEN.findall(value.lower())
+            good += sum(w in GOOD for w in words)
+            bad += sum(w in BAD for w in words)
+            for w in words:
+                hashed |= 1 << sum(w.encode()) % HASHED
+        elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()) or (name == "aria-hidden" and "true" in value):
+            hidden = True
+    return good, bad, hashed, hidden
+
+
 class Node:
-    __slots__ = ("bad", "blocks", "chars", "children", "depth", "end", "good", "hashed", "hidden", "links", "n_tags", "order", "own", "parent", "stops", "tag", "text")
+    __slots__ = ("bad", "blocks", "chars", "children", "depth", "end", "good", "hashed", "hidden", "links", "n_tags", "order", "own", "parent", "space", "stops", "tag", "text")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
         self.chars = self.links = self.n_tags = self.blocks = self.stops = self.own = 0
         self.text = ""
+        self.space = True  # of a text: whether white space or the edge of a block is before it
         self.good = self.bad = self.hashed = 0
         self.hidden = False
         if parent:
             parent.children.append(self)
         if attributes:
-            for name, value in ATTRIBUTE.findall(attributes):
-                name = name.lower()
-                if name in ("class", "id", "role", "itemprop", "aria-label"):
-                    words = TOKEN.findall(value.lower())
-                    self.good += sum(w in GOOD for w in words)
-                    self.bad += sum(w in BAD for w in words)
-                    for w in words:
-                        self.hashed |= 1 << sum(w.encode()) % HASHED
-                elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()) or (name == "aria-hidden" and "true" in value):
-                    self.hidden = True
+            self.good, self.bad, self.hashed, self.hidden = telling(attributes)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page: block elements, with each run of text between block boundaries as a ``#text`` leaf.
+    """The tree of a page: block elements, with each run of text between boundaries as a ``#text`` leaf.
 
-    Inline elements dissolve into the run around them. Scripts, styles, the head, controls and comments are left out.
+    Inline elements dissolve into the run around them, except those whose attributes tell them apart (an advert or a share
+    link): they are nodes too, and their edges leave no space. Scripts, styles, the head, controls and comments are left out.
+    Elements nest to any depth.
     """
     root = Node("#root", None)
     stack = [root]
     run: list[str] = []
+    opened: Counter = Counter()  # elements of the stack by tag
+    inner: list[list] = []  # inline nodes of the stack: tag, place, elements of that tag that dissolved inside
     in_link = linked = tags = 0
+    space = True
 
-    def flush() -> None:
-        nonlocal linked, tags
+    def flush(block: bool = True) -> None:
+        nonlocal linked, tags, space
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            raw = html.unescape("".join(run))
+            text = " ".join(raw.split())
             run.clear()
             if text:
                 leaf = Node("#text", stack[-1])
                 leaf.text, leaf.chars, leaf.links, leaf.own = text, len(text), min(linked, len(text)), len(text)
                 leaf.stops = sum(text.count(c) for c in ".!?,")
                 leaf.n_tags, leaf.blocks = tags, 1
+                leaf.space = space or raw[0].isspace()
+                space = raw[-1].isspace()
+            else:
+                space = space or bool(raw)
+        space = space or block
         linked = tags = 0
 
+    def push(name: str, attributes: str) -> None:
+        stack.append(Node(name, stack[-1], attributes))
+        opened[name] += 1
+
+    def cut(k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+        del stack[k:]
+        while inner and inner[-1][1] >= k:
+            inner.pop()
+
     at = 0
     while m := MARKUP.search(page, at):
         if m.start() > at:
@@ -90,8 +126,8 @@ def parse(page: str) -> Node:
         name = m[2].lower()
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
-                if name not in ("button", "option"):
-                    flush()
+                if name in ("head", "title", "script", "style"):
+                    flush(name in ("head", "title"))
                 close = _find(page, name, at)
                 if close >= 0 or name in ("script", "style", "title", "textarea"):
                     at = close if close >= 0 else len(page)
@@ -100,6 +136,20 @@ def parse(page: str) -> Node:
             tags += 1
             if name == "a":
                 in_link = 0 if m[1] else 1
+            own = next((x for x in reversed(inner) if x[0] == name), None) if inner else None
+            if m[1]:
+                if own and own[2]:
+                    own[2] -= 1
+                elif own:
+                    flush(False)
+                    cut(own[1])
+            elif not m[3].endswith("/"):
+                if m[3] and ((t := telling(m[3]))[1] > t[0] or t[3]):
+                    flush(False)
+                    inner.append([name, len(stack), 0])
+                    push(name, m[3])
+                elif own:
+                    own[2] += 1
             continue
         flush()
         in_link = 0
@@ -107,32 +157,34 @@ def parse(page: str) -> Node:
             stack[-1].n_tags += 1
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k].tag == name:
-                    del stack[k:]
+                    cut(k)
                     break
                 if name == "p" and stack[k].tag in SCOPE:
                     break
             continue
-        if name in CLOSES_P or name in ("li", "dd", "dt", "tr", "td", "th"):
+        ends = {"li": ("li",), "tr": ("tr",), "td": ("td",), "th": ("th",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}.get(name, ())
+        if name in CLOSES_P:
+            ends = (*ends, "p")
+        if any(opened[e] for e in ends):
             for k in range(len(stack) - 1, 0, -1):
                 tag = stack[k].tag
-                if tag == "p" and name in CLOSES_P or tag == name and name in ("li", "tr", "td", "th") or {tag, name} <= {"dd", "dt"}:
-                    del stack[k:]
+                if tag in ends:
+                    cut(k)
                     break
                 if tag in SCOPE or tag in ("ul", "ol", "table", "dl"):
                     break
-        if len(stack) < 400:  # deeper nesting is flattened
-            stack.append(Node(name, stack[-1], m[3]))
+        push(name, m[3])
         if m[3].endswith("/"):
-            stack.pop()
+            cut(len(stack) - 1)
     if at < len(page):
         run.append(page[at:])
     flush()
     return root
 
 
-_CLOSE = {n: re.compile(f"</{n}" + "|<body" * (n == "head"), re.I) for n in RAW}
+_CLOSE = {n: re.compile(f"</{n}(?=[\\s/>])" + "|<body(?=[\\s/>])" * (n == "head"), re.I) for n in RAW}
 
 
 def _find(page: str, name: str, at: int) -> int:
@@ -207,7 +259,7 @@ def _place(n: Node, kin: list[Node]) -> tuple[int, int]:
 
 
 def decode(nodes: list[Node], logits: np.ndarray) -> list[str]:
-    """Texts kept, in page order.
+    """The texts kept, in page order; those that no white space or edge of a block parts are one.
 
     A kept node has kept ancestors only. Among all such choices this is the one of greatest likelihood: the gain of keeping a
     node is its logit and the gains of its children that are worth keeping; a branch without gain is dropped whole.
@@ -217,9 +269,12 @@ def decode(nodes: list[Node], logits: np.ndarray) -> list[str]:
         gain[n.order] += float(logits[n.order - 1])
         if gain[n.order] > 0:
             gain[n.parent.order] += gain[n.order]
-    kept, out = [True] + [False] * (len(nodes) - 1), []
+    kept, out, space = [True] + [False] * (len(nodes) - 1), [], True
     for n in nodes[1:]:
         kept[n.order] = kept[n.parent.order] and gain[n.order] > 0
-        if kept[n.order] and n.text:
-            out.append(n.text)
+        if n.text:
+            space = space or n.space
+            if kept[n.order]:
+                out += [n.text] if space or not out else [out.pop() + n.text]
+                space = False
     return out

@@ -61,6 +61,10 @@ def _layouts(words: list[str], n: int, seed: int) -> Iterator[tuple[str, list[st
             return f"<div id=\"{pick('comments', 'respond', 'disqus')}\"><ol>" + "".join(f"<li class=comment><b>{some(1, 2)}</b><p>{some(4, 50)}</p></li>" for _ in range(rng.integers(1, 4))) + "</ol></div>"
         return f"<script>var a='<p>x</p>';</script><div class=\"{pick('popup', 'modal', 'overlay')}\">{some(3, 25)}</div>"
 
+    def inline() -> str:
+        kind = pick("ad", "ads", "advert", "promo", "sponsored", "share", "social", "newsletter", "related", "comment")
+        return pick(f"<span class={kind}>{some(1, 8)}</span>", f"<a class='{kind}-link' href='#'>{some(1, 4)}</a>", f"<em id={kind}>{some(1, 5)}</em>")
+
     for _ in range(n):
         texts: list[str] = []
 
@@ -69,7 +73,11 @@ def _layouts(words: list[str], n: int, seed: int) -> Iterator[tuple[str, list[st
             for i in range(int(rng.integers(1, 12))):
                 kind, t = rng.random(), some(1, 120) if rng.random() < 0.85 else some(1, 3)
                 texts.append(t)
-                if i and kind < 0.08:
+                if kind >= 0.28 and rng.random() < 0.08:
+                    more = some(2, 30)
+                    texts.append(more)
+                    out.append(f"<p>{t} {inline()} {more}</p>")
+                elif i and kind < 0.08:
                     out.append(f"<{pick('h2', 'h3')}>{t}</h2>")
                 elif kind < 0.14:
                     more = some(2, 12)
