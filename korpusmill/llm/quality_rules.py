@@ -15,14 +15,28 @@ from korpusmill.functions.batches import map_batches
 from korpusmill.llm.common import SPACE, SpanHash, scramble, slices, utf8, words
 from korpusmill.llm.labelled import Adam, labelled_sample, sigmoid, split
 
-#: Hashed words and word pairs share one table of weights, runs of three and four bytes another.
+#: Hashed words and word pairs share one table of weights, runs of three and four characters another.
 WORDS = CHARS = 4096
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
+#: Leaves as many high bits as CHARS needs.
+_SHIFT = np.uint64(64 - (CHARS - 1).bit_length())
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def characters(data: np.ndarray) -> np.ndarray:
+    """A number for each character of UTF-8 text: its bytes, the first in the lowest place."""
+    more = np.concatenate([(data & 0xC0) == 0x80, np.zeros(3, bool)])
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    lead = np.flatnonzero(~more[: len(data)])
+    out, inside = padded[lead].astype(np.uint64), np.ones(len(lead), bool)
+    for j in range(1, 4):
+        inside &= more[lead + j]
+        out |= np.where(inside, padded[lead + j], 0).astype(np.uint64) << np.uint64(8 * j)
+    return out
+
+
 def _repeats(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries have an equal in their row, and which are not the first of their equals."""
     key = scramble(h + scramble(row.astype(np.uint64) + np.uint64(1)))
@@ -36,7 +50,7 @@ def _repeats(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def analyse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Counts of each text (columns as COUNTS), then buckets and rows of the word features and of the byte features."""
+    """Counts of each text (columns as COUNTS), then buckets and rows of the word features and of the character features."""
     n, size = len(offsets) - 1, len(data)
     start, end, row = words(data, offsets)
     spans = SpanHash(data)
@@ -70,16 +84,16 @@ def analyse(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple[np
     pair = np.flatnonzero(row[1:] == row[:-1])
     word_bucket = np.concatenate([h, scramble(h[pair] * _TIMES + h[pair + 1])]) & np.uint64(WORDS - 1)
     word_row = np.concatenate([row, row[pair]])
-    x = data.astype(np.uint32)
+    char, char_row = characters(data), byte_row[(data & 0xC0) != 0x80]
     grams, gram_rows = [], []
     for width in (3, 4):
-        if size >= width:
-            g = x[: size - width + 1].copy()
-            for j in range(1, width):
-                g |= x[j : size - width + 1 + j] << np.uint32(8 * j)
-            ok = byte_row[: size - width + 1] == byte_row[width - 1 :]
-            grams.append(((g[ok] * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.int32))
-            gram_rows.append(byte_row[: size - width + 1][ok])
+        if len(char) >= width:
+            g = np.zeros(len(char) - width + 1, np.uint64)
+            for j in range(width):
+                g = (g ^ char[j : len(g) + j]) * _TIMES
+            ok = char_row[: len(g)] == char_row[width - 1 :]
+            grams.append((g[ok] >> _SHIFT).astype(np.int32))
+            gram_rows.append(char_row[: len(g)][ok])
     counts = np.column_stack([n_words, chars, symbols, dup_lines, repeat]).astype(np.int64)
     none = [np.zeros(0, np.int32)]
     return counts, (word_bucket.astype(np.int64), word_row), (np.concatenate(grams or none), np.concatenate(gram_rows or none))
@@ -205,4 +219,5 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: st
 
 
 def kept_only(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that :func:`rules` keeps, with the same columns; null, empty and short texts go, each of several equal rows is judged alike, and an empty table stays empty."""
     return rules(docs, labels, threshold).filter(F.col("kept")).select(*docs.columns)

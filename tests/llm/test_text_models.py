@@ -177,3 +177,26 @@ def test_marked_parts_go_and_the_rest_stays(spark):
     want = ["Some words, long enough to be a sentence of the text", "Words of a sentence, which goes on and on", "Let x be five in this sentence of the text", "An innermost word stays in this sentence"]
     out = html_extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))
     assert {r.page_id: r.text for r in out.collect()} == {i: "Title of it " + t + rest for i, t in enumerate(want)}
+
+
+def test_characters_are_code_points():
+    text = "aé漢😀 zñ\n漢😀é"
+    data = np.frombuffer(text.encode(), np.uint8)
+    want = [int.from_bytes(c.encode(), "little") for c in text]
+    assert quality_rules.characters(data).tolist() == want
+    two = np.frombuffer((text + text).encode(), np.uint8)
+    n = len(text.encode())
+    _, _, (bucket, row) = quality_rules.analyse(two, np.array([0, n, 2 * n]))
+    assert sorted(bucket[row == 0].tolist()) == sorted(bucket[row == 1].tolist()) and (row == 0).sum() == 2 * len(text) - 5
+    assert quality_rules.characters(np.zeros(0, np.uint8)).tolist() == []
+    assert len(quality_rules.characters(np.frombuffer(b"a\xc3\xc3(\xff", np.uint8))) == 5
+
+
+def test_labelled_rows_are_bounded(spark):
+    from korpusmill.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(i % 10, f"text {i % 20}") for i in range(400)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 2, "doc_id long, quality int")
+    rows = labelled_sample(docs, labels, 6).collect()
+    assert len(rows) == len({r.id for r in rows}) == 6 and all(r.label == r.id % 2 for r in rows)
+    assert sorted(map(tuple, labelled_sample(docs.repartition(7), labels, 6).collect()), key=str) == sorted(map(tuple, rows), key=str)
