@@ -22,8 +22,8 @@ from korpusmill.functions.batches import map_batches
 from korpusmill.llm.common import SpanHash, scramble, slices, utf8
 from korpusmill.llm.suffix_sort import equal_prefixes
 
-#: Bytes hashed at an anchor; routing numbers of the first exchange.
-ANCHOR, ROUTES = 32, 4096
+#: Bytes hashed at an anchor; routing numbers of the first exchange, the least and for each of its partitions.
+ANCHOR, ROUTES, ROUTES_EACH = 32, 4096, 16
 #: Spans held by a task of the first step before it sends them on; different spans of one anchor, seen by one task of the
 #: first step or met in the second, from which the anchor counts as crowded.
 HELD, LOCAL, CROWD = 1_500_000, 16, 2_000
@@ -85,7 +85,7 @@ def _group_sizes(s: np.ndarray) -> np.ndarray:
     return np.repeat(n, n)
 
 
-def _collect(length: int):
+def _collect(length: int, routes: int):
     """First step: spans of all texts, less those with an equal in the same task, dealt out by anchor."""
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +97,14 @@ def _collect(length: int):
         signs = signs.copy()
         signs["kind"] = MARK
         x = np.concatenate([x, signs])
-        route = scramble(x["s"] ^ np.where(x["kind"] == SPREAD, x["u"], 0)) & np.uint64(ROUTES - 1)
+        route = scramble(x["s"] ^ np.where(x["kind"] == SPREAD, x["u"], 0)) & np.uint64(routes - 1)
         order = np.argsort(route, kind="stable")
         x, route = x[order], route[order]
         cut = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
         blobs = [x[i:j] for i, j in zip(cut, np.append(cut[1:], len(x)), strict=True)]
         own = _merged(again, length)
-        routes = np.concatenate([route[cut].astype(np.int64), own[:, 0] % ROUTES if len(own) else np.zeros(0, np.int64)])
-        yield pa.record_batch([pa.array(routes.astype(np.int32)), pa.array([b"s" + b.tobytes() for b in blobs] + [b"r" + r.tobytes() for r in own], pa.binary())], ["route", "data"])
+        dealt = np.concatenate([route[cut].astype(np.int64), own[:, 0] % routes if len(own) else np.zeros(0, np.int64)])
+        yield pa.record_batch([pa.array(dealt.astype(np.int32)), pa.array([b"s" + b.tobytes() for b in blobs] + [b"r" + r.tobytes() for r in own], pa.binary())], ["route", "data"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -322,7 +322,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     source = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.pmod(F.xxhash64(F.col(text)), F.lit((1 << 31) - 1)).cast("int").alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    sent = map_batches(source, _collect(length), "route int, data binary").repartition("route")
+    each = ROUTES_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routes = max(ROUTES, 1 << min(30, (each - 1).bit_length()))  # a power of two, so that more partitions mean smaller tasks
+    sent = map_batches(source, _collect(length, routes), "route int, data binary").repartition("route")
     found = map_batches(sent, _compare(length), FINDS).groupBy("id", "th").agg(F.collect_list(F.struct("a", "b", "kind", "key")).alias("finds"))
     both = source.join(found, ["id", "th"], "left").select("id", "th", "text", "finds")
     more = map_batches(map_batches(both, _texts(length), SORTED).repartition("key"), _sort(length), FINDS)
