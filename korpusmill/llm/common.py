@@ -23,10 +23,17 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``df`` checkpointed in the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (a test, a notebook) gets a temporary folder; a cluster, whose executors would each
+    write to a disk of their own, gets an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint()
 
 
@@ -91,6 +98,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs((~SPACE[data]).view(np.uint8), offsets)
 
 
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """One buffer of lower-cased words with single spaces between; start and end of each shingle in it; its row."""
+    start, end, row = words(data, offsets)
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    keep = ~SPACE[data]
+    gap = end[end < len(data)]
+    gap = gap[SPACE[data[gap]]]
+    keep[gap] = True
+    lower[gap] = 32
+    moved = np.concatenate([[0], np.cumsum(keep)])
+    a, b = moved[start], moved[start] + (end - start)
+    n = len(start)
+    first = np.searchsorted(row, np.arange(len(offsets) - 1))
+    last = np.append(first[1:], n) - 1  # last word of each row
+    until = np.minimum(np.arange(n) + width - 1, last[row]) if n else np.zeros(0, np.int64)
+    ok = (np.arange(n) + width - 1 <= until) | (np.arange(n) == first[row]) if n else np.zeros(0, bool)
+    return lower[keep].tobytes(), a[ok], b[until[ok]], row[ok]
+
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -16,14 +16,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, label: str =
     """``text`` and ``label`` of at most ``most`` labelled documents outside the held-out fold, chosen by a hash of their id.
 
     Rows with a null label go; of several labels of one document the smallest counts. The chosen labels are bounded by
-    ``most``, so they are broadcast. A document whose id is repeated gives a row each time.
+    ``most``, so they are broadcast. A document whose id is repeated gives one row, of the text with the smallest hash.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("of"), F.col(label).cast("int").alias("label")).filter("of is not null and label is not null")
         .filter(fold(F.col("of")) != 0).groupBy("of").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("of"), "of").limit(most)
     )
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "text", "label")
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of"))
+    one = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("row"))
+    return one.select("id", "row.text", "row.label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
