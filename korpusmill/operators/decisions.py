@@ -48,9 +48,10 @@ def run_stats(log: DataFrame, by: list[str], kinds: list[str]) -> DataFrame:
 def bibliography(refs: DataFrame) -> DataFrame:
     """References (title, surface, author, domain, seq) by title (else surface form, else "unknown"): authors in order of first sight, first domain, count."""
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("surface", F.lit("")), F.lit("unknown"))
-    out = refs.groupBy(title.alias("book_title")).agg(F.array_sort(F.collect_list(F.struct("seq", "author", "domain"))).alias("x"), F.count("*").alias("n"))
-    filled = F.filter("x", lambda e: e["domain"].isNotNull())
-    return out.select("book_title", F.array_join(F.array_distinct(F.transform("x", lambda e: e["author"])), ",").alias("authors"), F.get(filled, F.lit(0))["domain"].alias("domain"), "n")
+    # each author once before the titles are gathered, so that a title that many references share stays a short list
+    by_author = refs.groupBy(title.alias("book_title"), "author").agg(F.min("seq").alias("seq"), F.min(F.when(F.col("domain").isNotNull(), F.struct("seq", "domain"))).alias("d"), F.count("*").alias("n"))
+    out = by_author.groupBy("book_title").agg(F.array_sort(F.collect_list(F.struct("seq", "author"))).alias("x"), F.min("d").alias("d"), F.sum("n").alias("n"))
+    return out.select("book_title", F.array_join(F.transform("x", lambda e: e["author"]), ",").alias("authors"), F.col("d.domain").alias("domain"), "n")
 
 
 def recurrence_facts(log: DataFrame, by: str, flag: Column) -> DataFrame:
@@ -100,6 +101,34 @@ def visible_before(events: DataFrame, batch: str, order: str, page: str, created
     return events.withColumn("visible", F.coalesce(F.max(created.cast("int")).over(w), F.lit(0)) == 1)
 
 
+def recovery_stats(outcomes: DataFrame, by: list[str], confidences: list[str] = ["high", "medium", "low"]) -> DataFrame:  # noqa: B006
+    """Of a recovery run (``by``, ``eligible``, ``state`` hit, miss or skipped, ``confidence``): eligible entries, hits, misses, skipped, and matches by confidence."""
+    one = lambda name, condition: F.count_if(F.coalesce(condition, F.lit(False))).alias(name)
+    state = F.col("state")
+    matched = [one(f"matched_{c}", state.isin("hit", "miss") & (F.col("confidence") == c)) for c in confidences]
+    return outcomes.groupBy(*by).agg(one("eligible", F.col("eligible")), one("hits", state == "hit"), one("misses", state == "miss"), one("skipped", state == "skipped"), *matched)
+
+
+def has_marker(df: DataFrame, lists: dict[str, Column], texts: list[Column], scalars: list[Column]) -> Column:
+    """Whether a record shows any sign of the newer schema: an element of a list that meets its condition, a filled text, or a scalar that is there.
+
+    lists: a list column to a function of its element, given as a Python callable; nulls are no sign.
+    """
+    signs = [F.exists(F.col(c), test) for c, test in lists.items()] + [F.trim(t) != "" for t in texts] + [s.isNotNull() for s in scalars]
+    out = F.lit(False)
+    for sign in signs:
+        out = out | F.coalesce(sign, F.lit(False))
+    return out
+
+
+def all_runs(log: DataFrame, flags: list[str], kinds: list[str], external: Column, listed: Column, promoting: list[str], run: str = "run_id", by: str = "entity") -> dict[str, DataFrame]:
+    """Every run aggregated again: ``entities`` with their review priority, ``references`` facts and ``stats``, all keyed by run; runs without rows have none."""
+    entities = aggregate_log(log, [run, by], flags)
+    p = review_priority(external, listed, F.col("n"), F.col("minutes"), F.col("decisions"), promoting)
+    entities = entities.withColumn("_p", p).select(*entities.columns, F.col("_p.priority").alias("priority"), F.col("_p.reason").alias("reason"))
+    return {"entities": entities, "stats": run_stats(log, [run], kinds)}
+
+
 def quarantine(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
     """Records without errors, and the others with theirs. errors: an array with nulls for checks that passed."""
     marked = df.withColumn("errors", F.filter(errors, lambda e: e.isNotNull()))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions import text as T
+from korpusmill.functions.sizes import small
 
 
 def equals(df: DataFrame, filters: dict) -> DataFrame:
@@ -28,10 +29,10 @@ def absent(df: DataFrame, field: str, include: bool = False) -> DataFrame:
 def canonical(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     """``column`` replaced by the name in ``names`` (column ``name``) that it equals but for case and accents; others stay.
 
-    ``names`` is a fixed list of categories and is broadcast.
+    ``names`` is a list of categories, broadcast if it is small.
     """
     table = names.select(F.col("name").alias("_name"), T.match_norm(F.col("name")).alias("_key")).dropDuplicates(["_key"])
-    out = df.join(F.broadcast(table), T.match_norm(F.col(column)) == F.col("_key"), "left")
+    out = df.join(small(table), T.match_norm(F.col(column)) == F.col("_key"), "left")
     return out.withColumn(column, F.coalesce("_name", column)).drop("_name", "_key")
 
 
@@ -49,11 +50,14 @@ def tag_policy(chunks: DataFrame, flags: DataFrame, keys: list[str], order: list
     return chunks.join(latest, keys, "left")
 
 
-def topic_filter(blocks: DataFrame, rules: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+def topic_filter(blocks: DataFrame, rules: DataFrame, text: str, key: str, most_rules: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Blocks that no rule matches, and a log of (block, pattern, reason) for those that one does.
 
-    rules: pattern, reason; a fixed policy list, broadcast. Nothing is dropped without a line in the log.
+    rules: pattern, reason; a policy list of at most ``most_rules`` rows, as every block is tried against each of them. Nothing
+    is dropped without a line in the log.
     """
+    if rules.limit(most_rules + 1).count() > most_rules:
+        raise ValueError(f"more than {most_rules} topic rules")
     hit = F.rlike(F.col(text), F.concat(F.lit("(?iU)"), F.col("pattern")))
     log = blocks.join(F.broadcast(rules.select("pattern", "reason")), hit).select(key, "pattern", "reason")
     return blocks.join(log.select(key).distinct(), key, "left_anti"), log
@@ -130,11 +134,20 @@ def valid_page_id(c: Column) -> Column:
     return F.rlike(c, F.lit("^[a-z0-9][a-z0-9_-]*$"))
 
 
-def catalogue(pages: DataFrame, relations: DataFrame, aliases: DataFrame, most: int = 5, chars: int = 120) -> DataFrame:
-    """One line per page: name, type, aliases (first ``chars``), first ``most`` relations in order and how many more there are."""
-    rel = relations.groupBy(F.col("from_page_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.concat_ws(":", "type", "to_page_id"))).alias("rel"))
-    ali = aliases.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), ", ").alias("ali"))
-    n = F.coalesce(F.size("rel"), F.lit(0))
+def catalogue(pages: DataFrame, relations: DataFrame, aliases: DataFrame, order: list[str], most: int = 5, chars: int = 120) -> DataFrame:
+    """One line per page: name, type, aliases (first ``chars``), first ``most`` relations by ``order`` (as stated) and how many more there are.
+
+    Lists are cut before they are collected: ``most`` relations, and as many aliases as fit.
+    """
+    from pyspark.sql import Window as W
+
+    ranked = relations.withColumn("_n", F.row_number().over(W.partitionBy("from_page_id").orderBy(*order)))
+    kept = F.when(F.col("_n") <= most, F.struct("_n", F.concat_ws(":", "type", "to_page_id").alias("x")))
+    rel = ranked.groupBy(F.col("from_page_id").alias("page_id")).agg(F.array_sort(F.collect_list(kept)).alias("rel"), F.count("*").alias("n_rel"))
+    rel = rel.select("page_id", F.transform("rel", lambda r: r["x"]).alias("rel"), "n_rel")
+    first = aliases.withColumn("_n", F.row_number().over(W.partitionBy("page_id").orderBy("alias"))).filter(F.col("_n") <= chars)
+    ali = first.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("alias")), ", ").alias("ali"))
+    n = F.coalesce("n_rel", F.lit(0))
     shown = F.array_join(F.slice(F.coalesce("rel", F.array().cast("array<string>")), 1, most), "; ")
     return pages.join(rel, "page_id", "left").join(ali, "page_id", "left").select(
         "page_id", "page_type", "canonical_name", F.substring(F.coalesce("ali", F.lit("")), 1, chars).alias("aliases"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from korpusmill.functions.sizes import small
 from korpusmill.functions import text as T
 
 #: How far each weight of an edge comes forward; weaker edges last.
@@ -81,7 +82,7 @@ def _typed(relations: DataFrame, pages: DataFrame, types: DataFrame) -> DataFram
     """
     kind = pages.groupBy("page_id").agg(F.min("page_type").alias("page_type"))
     src, dst = kind.toDF("from_page_id", "from_type"), kind.toDF("to_page_id", "to_type").withColumn("target", F.lit(True))
-    e = relations.join(F.broadcast(types.select("type", "from_types", "to_types", F.lit(True).alias("known"))), "type", "left").join(src, "from_page_id", "left").join(dst, "to_page_id", "left")
+    e = relations.join(small(types.select("type", "from_types", "to_types", F.lit(True).alias("known"))), "type", "left").join(src, "from_page_id", "left").join(dst, "to_page_id", "left")
     bad = lambda side, allowed: F.coalesce(F.col(side).isNotNull() & (F.size(allowed) > 0) & ~F.array_contains(allowed, "any") & ~F.array_contains(F.col(allowed), F.col(side)), F.lit(False))
     return e.select("from_page_id", "type", "to_page_id", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("target", F.lit(False)).alias("target"), bad("from_type", "from_types").alias("bad_from"), bad("to_type", "to_types").alias("bad_to"))
 
@@ -108,7 +109,7 @@ def validate(pages: DataFrame, relations: DataFrame, types: DataFrame) -> DataFr
 
 def inverse_edges(relations: DataFrame, types: DataFrame) -> DataFrame:
     """Edges and their inverses by the dictionary, distinct."""
-    inv = relations.join(F.broadcast(types.filter("inverse is not null").select("type", "inverse")), "type")
+    inv = relations.join(small(types.filter("inverse is not null").select("type", "inverse")), "type")
     turned = inv.select(F.col("to_page_id").alias("from_page_id"), F.col("inverse").alias("type"), F.col("from_page_id").alias("to_page_id"))
     return relations.select("from_page_id", "type", "to_page_id").unionByName(turned).distinct()
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions import text as T
+from korpusmill.functions.sizes import small
 from korpusmill.operators.retrieval import dense_topk
 
 
@@ -24,22 +25,26 @@ def fold_words(c: Column) -> Column:
     return F.regexp_replace(T.fold(F.lower(c)), r"[^\p{L}\p{N}]+", " ")
 
 
-def scan_aliases(docs: DataFrame, aliases: DataFrame, stop: list[str] = [], least: int = 4, most_words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B006
+def scan_aliases(docs: DataFrame, aliases: DataFrame, stop: list[str] = [], least: int = 4, anchor: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B006
     """(page_id, doc_id) for each alias that stands in a document as whole words, case and accents aside.
 
-    Documents become hashed runs of words, of the lengths that aliases have, and join the aliases by equality, so the work
-    grows with both sides, not with their product. Words and runs are told apart by 64 bits.
+    Documents become hashed runs of words, as long as aliases are but ``anchor`` words at the most, and join the aliases by
+    equality, so the work grows with both sides, not with their product. An alias of more words is looked for by its first
+    ``anchor`` and then compared whole. Words and runs are told apart by 64 bits.
     Aliases shorter than ``least`` count only if canonical; stop words never do.
     """
     key = F.array_join(words(F.col("alias")), " ")
     table = aliases.select("page_id", key.alias("key"), F.coalesce("canonical", F.lit(False)).alias("canonical"))
     table = table.filter(((F.length("key") >= least) | F.col("canonical")) & ~F.col("key").isin(*stop) & (F.col("key") != ""))
-    table = table.select("page_id", F.transform(F.split("key", " "), lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") <= most_words).distinct()
-    lengths = sorted(r.n for r in table.select(F.size("h").alias("n")).distinct().collect())  # most_words numbers at most
+    table = table.select("page_id", "key", F.transform(F.split("key", " "), lambda w: F.xxhash64(w)).alias("h")).distinct()
+    lengths = sorted(r.n for r in table.select(F.least(F.size("h"), F.lit(anchor)).alias("n")).distinct().collect())  # anchor numbers at most
     if not lengths:
         return table.join(docs.select(F.col(doc_id)), F.lit(False)).select("page_id", doc_id)
-    gram = F.coalesce(*[F.when(F.size("h") == n, F.xxhash64(*[F.get("h", F.lit(j)) for j in range(n)])) for n in lengths])
-    return ngrams(docs, doc_id, text, lengths).join(table.select("page_id", gram.alias("gram")), "gram").select("page_id", doc_id).distinct()
+    gram = F.coalesce(*[F.when(F.least(F.size("h"), F.lit(anchor)) == n, F.xxhash64(*[F.get("h", F.lit(j)) for j in range(n)])) for n in lengths])
+    table = table.select("page_id", gram.alias("gram"), F.when(F.size("h") > anchor, F.concat(F.lit(" "), "key", F.lit(" "))).alias("rest"))
+    hits = ngrams(docs, doc_id, text, lengths).join(small(table, 500_000), "gram").select("page_id", doc_id, "rest").distinct()
+    long = hits.filter("rest is not null").join(docs.select(doc_id, F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" ")).alias("folded")), doc_id)
+    return hits.filter("rest is null").select("page_id", doc_id).unionByName(long.filter(F.contains("folded", F.col("rest"))).select("page_id", doc_id)).distinct()
 
 
 def ledger(entries: DataFrame, terms: DataFrame, entry: str = "entry_id", surface: str = "surface_form", least: int = 4) -> DataFrame:

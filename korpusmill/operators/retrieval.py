@@ -52,28 +52,57 @@ def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str) -> DataFra
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, floor: float | None = None, skip_self: bool = True, block: int = 2048) -> DataFrame:
+def dense_topk(
+    queries: DataFrame, corpus: DataFrame, k: int = 5, floor: float | None = None, skip_self: bool = True, block: int = 2048, broadcast_bytes: int = 32 << 20,
+) -> DataFrame:
     """Cosine top-k of every query (``query_id``, ``vector``) over ``corpus`` (``id``, ``vector``), unit vectors.
 
-    Both sides are cut into blocks of ``block`` vectors at the most. A task takes a pair of blocks, multiplies the matrices and
-    passes on k candidates a query (more where scores tie); a window over the candidates finishes. Filters belong on
-    ``corpus`` before the call, so that they reach the scan. Rows without a vector are left out.
+    Queries of at most ``broadcast_bytes`` (as doubles) are one matrix that every task has; the corpus is read once, in
+    blocks of ``block`` vectors that are multiplied with it, and does not move. More queries are cut into blocks too, and
+    each meets all blocks of the corpus by a join on its number. A block passes on k candidates a query (more where scores
+    tie); a window over the candidates finishes. Filters belong on ``corpus`` before the call, so that they reach the scan.
+    Rows without a vector are left out.
     """
     out = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", corpus.schema["id"].dataType), StructField("score", DoubleType())])
 
-    def run(batches):
-        for b in batches:
-            for q, c in zip(b.column(0), b.column(1), strict=True):
-                (qi, qv), (ci, cv) = _block(q), _block(c)
-                s = np.round(qv @ cv.T, 6)
-                if skip_self:
-                    s[qi[:, None] == ci[None, :]] = -np.inf
-                least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-                at = np.nonzero((s >= least[:, None]) & (s > (-np.inf if floor is None else floor - 1e-12)) & np.isfinite(s))
-                yield pa.record_batch([pa.array(qi[at[0]]), pa.array(ci[at[1]]), pa.array(s[at])], ["query_id", "id", "score"])
-
-    pairs = _blocks(corpus, "id", block, "c").crossJoin(_blocks(queries, "query_id", block, "q")).select("q", "c")
-    return top_k(map_batches(pairs, run, out), ["query_id"], "score", k, "id")
+    def best(qi, qv, ci, cv):
+        s = np.round(qv @ cv.T, 6)
+        if skip_self:
+            s[qi[:, None] == ci[None, :]] = -np.inf
+        least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+        at = np.nonzero((s >= least[:, None]) & (s > (-np.inf if floor is None else floor - 1e-12)) & np.isfinite(s))
+        return pa.record_batch([pa.array(qi[at[0]]), pa.array(ci[at[1]]), pa.array(s[at])], ["query_id", "id", "score"])
+
+    some = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
+    size = some.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    if size.n * (size.dims or 0) * 8 <= broadcast_bytes:
+        table = some.toArrow().combine_chunks()
+        ids, matrix = table.column(0).to_numpy(), np.stack(table.column(1).to_numpy()).astype(np.float64) if size.n else np.zeros((0, 0))
+        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def stream(batches):
+            qi, qv = shared.value
+            for b in batches:
+                if b.num_rows and len(qi):
+                    c, v = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+                    yield best(qi, qv, c, v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1))
+
+        def bounded(batches):
+            return stream(b.slice(i, block) for b in batches for i in range(0, b.num_rows, block))
+
+        found = map_batches(corpus.filter(F.col("vector").isNotNull()).select("id", "vector"), bounded, out)
+    else:
+
+        def run(batches):
+            for b in batches:
+                for q, c in zip(b.column(0), b.column(1), strict=True):
+                    yield best(*_block(q), *_block(c))
+
+        parts = -(-size.n // block)
+        q = _blocks(queries, "query_id", block, "q").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
+        c = _blocks(corpus, "id", block, "c").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+        found = map_batches(c.join(q, "part").select("q", "c"), run, out)
+    return top_k(found, ["query_id"], "score", k, "id")
 
 
 def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int = 20) -> DataFrame:

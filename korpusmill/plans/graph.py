@@ -191,7 +191,7 @@ FROM pages p LEFT JOIN r ON r.from_page_id = p.page_id LEFT JOIN a ON a.page_id
 )
 def p22_catalogue(t: Tables) -> DataFrame:
     g = Graph(t)
-    return filters.catalogue(g.pages, g.relations, g.aliases)
+    return filters.catalogue(g.pages, g.relations, g.aliases, [F.concat_ws(":", "type", "to_page_id")])
 
 
 @query("SELECT l1, l2, l3, count(*) AS n FROM (SELECT r_name AS l1, n_name AS l2, c_mktsegment AS l3 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) GROUP BY ROLLUP (l1, l2, l3)")

@@ -14,12 +14,14 @@ FOLDED = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúû
 
 
 def heads(t: Tables) -> DataFrame:
-    """The first three words of each benchmark item, as an alias of the item."""
-    return t.benchmark.select(F.col("item_id").alias("page_id"), F.array_join(F.slice(M.words(F.col("text")), 1, 3), " ").alias("alias"), F.lit(False).alias("canonical"))
+    """The first three and the first six words of each benchmark item, as aliases of the item and of its thousandth successor."""
+    first = lambda n, more: t.benchmark.select((F.col("item_id") + more).alias("page_id"), F.array_join(F.slice(M.words(F.col("text")), 1, n), " ").alias("alias"), F.lit(False).alias("canonical"))
+    return first(3, 0).unionByName(first(6, 1000))
 
 
 @query(
-    rf"""WITH a AS (SELECT item_id AS page_id, array_to_string(list_filter(string_split_regex({FOLDED.format('text')}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')[1:3], ' ') AS alias FROM benchmark),
+    rf"""WITH w AS (SELECT item_id, list_filter(string_split_regex({FOLDED.format('text')}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS x FROM benchmark),
+a AS (SELECT item_id AS page_id, array_to_string(x[1:3], ' ') AS alias FROM w UNION ALL SELECT item_id + 1000, array_to_string(x[1:6], ' ') FROM w),
 d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split_regex({FOLDED.format('text')}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ' AS x FROM documents)
 SELECT DISTINCT page_id, doc_id FROM d, a WHERE length(alias) >= 4 AND contains(x, ' ' || alias || ' ')"""
 )
@@ -125,9 +127,9 @@ def p4_canonical_category(t: Tables) -> DataFrame:
     return filters.canonical(t.documents.withColumn("name", F.col("lang")), "name", names).groupBy("lang", "name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice / 100, 4) AS score, '[' || o_orderpriority || ' (' || (o_custkey // 60) || ':' || printf('%02d', o_custkey % 60) || ')](u' || CASE WHEN o_custkey > 0 THEN '?t=' || o_custkey ELSE '' END || ')' AS cite FROM orders WHERE o_custkey < 3600")
+@query("SELECT o_orderkey, round(o_totalprice / 100, 4) AS score, '[' || o_orderpriority || ' (' || CASE WHEN o_custkey < 3600 THEN (o_custkey // 60) || ':' ELSE (o_custkey // 3600) || ':' || printf('%02d', o_custkey % 3600 // 60) || ':' END || printf('%02d', o_custkey % 60) || ')](u' || CASE WHEN o_custkey > 0 THEN '?t=' || o_custkey ELSE '' END || ')' AS cite FROM orders")
 def p6_compact(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_custkey < 3600").select("o_orderkey", (F.col("o_totalprice") / 100).alias("score"), F.col("o_orderpriority").alias("title"), F.lit("u").alias("url"), F.col("o_custkey").alias("timestamp_seconds"))
+    rows = t.orders.select("o_orderkey", (F.col("o_totalprice") / 100).alias("score"), F.col("o_orderpriority").alias("title"), F.lit("u").alias("url"), F.col("o_custkey").alias("timestamp_seconds"))
     return filters.compact(rows).select("o_orderkey", "score", F.col("cite_markdown").alias("cite"))
 
 

@@ -1,6 +1,6 @@
 """Retrieval queries. Queries are the vectors whose id is divisible by 50, against all; documents are runs of five vectors.
 
-Chunks are the vectors with a label above 0, pages those with label 0; a page cites a chunk where a supplier sold 50 at a discount
+Chunks are the vectors with a label above 0, pages those with label 0; a page cites a chunk where a supplier sold 45 or more at a discount
 of a tenth. Thresholds suit the scores of these tables.
 """
 
@@ -26,15 +26,15 @@ def asked(t: Tables) -> DataFrame:
 
 
 def cites(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter((F.col("l_quantity") >= 50) & (F.col("l_discount") == 0.1))
-    return rows.select((F.col("l_suppkey") % 50 * 10).alias("page_id"), (F.col("l_orderkey") % 100).alias("doc_id"), (F.col("l_linenumber") % 5).cast("int").alias("ts")).distinct()
+    rows = t.lineitem.filter((F.col("l_quantity") >= 45) & (F.col("l_discount") == 0.1)).crossJoin(F.broadcast(t.embeddings.agg(F.count("*").alias("n"))))  # one row
+    return rows.select((F.col("l_suppkey") * 10 % F.col("n")).alias("page_id"), (F.col("l_orderkey") % F.ceil(F.col("n") / 5)).alias("doc_id"), (F.col("l_linenumber") % 5).cast("int").alias("ts")).distinct()
 
 
 BASE = """
 WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0),
 e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label, vec_id // 5 AS doc_id, CAST(vec_id % 5 AS INT) AS ts FROM embeddings),
 sc AS (SELECT query_id, id, label, doc_id, ts, round(list_dot_product(qv, v), 6) AS score FROM q, e WHERE id <> query_id),
-cites AS (SELECT DISTINCT l_suppkey % 50 * 10 AS page_id, l_orderkey % 100 AS doc_id, CAST(l_linenumber % 5 AS INT) AS ts FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0.1),
+cites AS (SELECT DISTINCT l_suppkey * 10 % (SELECT count(*) FROM embeddings) AS page_id, l_orderkey % (((SELECT count(*) FROM embeddings) + 4) // 5) AS doc_id, CAST(l_linenumber % 5 AS INT) AS ts FROM lineitem WHERE l_quantity >= 45 AND l_discount = 0.1),
 raw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE label > 0) WHERE rank <= 5),
 sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE label = 0) WHERE rank <= 2),
 exact AS (SELECT query_id, page_id, raw.doc_id, raw.ts, 'exact' AS match_strength, round(score, 4) AS effective_score FROM raw JOIN cites ON raw.doc_id = cites.doc_id AND raw.ts = cites.ts WHERE score >= 0.25),
@@ -228,19 +228,19 @@ def r9_evaluation(t: Tables) -> DataFrame:
 
 @query(
     BASE
-    + """, v AS (SELECT query_id % 250 AS candidate, id AS chunk_id, label AS category, score FROM raw), b AS (SELECT candidate, chunk_id, max(score) AS score FROM v GROUP BY 1, 2),
+    + """, v AS (SELECT query_id // 100 * 100 AS candidate, id AS chunk_id, label AS category, score FROM raw), b AS (SELECT candidate, chunk_id, max(score) AS score FROM v GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, chunk_id) AS r FROM b), rec AS (SELECT candidate, count(*) FILTER (score >= 0.25) AS n_chunks, round(avg(CASE WHEN r <= 10 THEN score END), 4) AS avg_top10 FROM k GROUP BY 1),
 inc AS (SELECT page_id AS candidate, count(*) AS n_in FROM cites GROUP BY 1), j AS (SELECT rec.*, coalesce(n_in, 0) AS n_in, CASE WHEN n_in IS NULL THEN 0.0 ELSE 1.0 END AS bonus FROM rec LEFT JOIN inc USING (candidate))
 SELECT candidate, round(0.5 * n_chunks / greatest((SELECT max(n_chunks) FROM j), 1) + 0.3 * n_in / greatest((SELECT max(n_in) FROM j), 1) + 0.2 * bonus, 4) AS score, n_chunks, avg_top10, n_in,
   CASE WHEN n_chunks < 3 THEN 'few chunks' WHEN avg_top10 < 0.28 THEN 'low scores' ELSE 'ok' END AS reason, n_chunks >= 3 AND avg_top10 >= 0.28 AS viable FROM j"""
 )
 def a20_candidate_ranking(t: Tables) -> DataFrame:
-    hits = _seeds(t).join(vec(t).select("id", "label"), "id").select((F.col("query_id") % 250).alias("candidate"), F.col("id").alias("chunk_id"), F.col("label").alias("category"), F.col("dense_score").alias("score"))
+    hits = _seeds(t).join(vec(t).select("id", "label"), "id").select((F.floor(F.col("query_id") / 100) * 100).alias("candidate"), F.col("id").alias("chunk_id"), F.col("label").alias("category"), F.col("dense_score").alias("score"))
     incoming = cites(t).groupBy(F.col("page_id").alias("candidate")).agg(F.count("*").alias("n_in")).withColumn("bonus", F.lit(1.0))
     return ranking.rank_candidates(ranking.recurrence(hits, 0.25).drop("dominant"), incoming, min_chunks=3, min_avg=0.28)
 
 
-@query(BASE + ", b AS (SELECT query_id % 250 AS candidate, id, max(score) AS score FROM raw GROUP BY 1, 2) SELECT candidate, count(*) FILTER (score >= 0.25) AS n_chunks, round(avg(CASE WHEN r <= 10 THEN score END), 4) AS avg_top10 FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, id) AS r FROM b) GROUP BY 1")
+@query(BASE + ", b AS (SELECT query_id // 100 * 100 AS candidate, id, max(score) AS score FROM raw GROUP BY 1, 2) SELECT candidate, count(*) FILTER (score >= 0.25) AS n_chunks, round(avg(CASE WHEN r <= 10 THEN score END), 4) AS avg_top10 FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, id) AS r FROM b) GROUP BY 1")
 def a19_recurrence(t: Tables) -> DataFrame:
-    hits = _seeds(t).join(vec(t).select("id", "label"), "id").select((F.col("query_id") % 250).alias("candidate"), F.col("id").alias("chunk_id"), F.col("label").alias("category"), F.col("dense_score").alias("score"))
+    hits = _seeds(t).join(vec(t).select("id", "label"), "id").select((F.floor(F.col("query_id") / 100) * 100).alias("candidate"), F.col("id").alias("chunk_id"), F.col("label").alias("category"), F.col("dense_score").alias("score"))
     return ranking.recurrence(hits, 0.25).drop("dominant")

@@ -20,11 +20,10 @@ MD = "WITH md AS (SELECT conv_id, string_agg('## ' || role || chr(10) || '- ' ||
 FOLD = "translate({}, 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy')"
 
 
-@query("SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INT) AS seconds, strftime(ts, '%-H:%M:%S') AS stamp FROM events WHERE hour(ts) > 0")
+@query("SELECT event_id, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INT) AS seconds, CASE WHEN hour(ts) > 0 THEN strftime(ts, '%-H:%M:%S') ELSE strftime(ts, '%-M:%S') END AS stamp FROM events")
 def f3_f4_time_text(t: Tables) -> DataFrame:
-    e = t.events.filter(F.hour("ts") > 0)
-    seconds = T.time_to_seconds(F.date_format("ts", "H:mm:ss"))
-    return e.select("event_id", seconds.alias("seconds"), T.seconds_to_time(seconds).alias("stamp"))
+    seconds = T.time_to_seconds(F.when(F.hour("ts") > 0, F.date_format("ts", "H:mm:ss")).otherwise(F.date_format("ts", "m:ss")))
+    return t.events.select("event_id", seconds.alias("seconds"), T.seconds_to_time(seconds).alias("stamp"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 7 > 0 THEN url || '?t=' || page_id % 7 ELSE url END AS link FROM pages")
