@@ -13,35 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions.batches import map_batches
-from korpusmill.llm.common import SPACE, cut, fresh, slices, utf8, words
+from korpusmill.llm import shingle_dedup
+from korpusmill.llm.common import cut, shingles, slices, utf8
 from korpusmill.llm.components import components
+from korpusmill.llm.keeping import keep_keepers, with_keepers
 
 BITS = 64
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """One buffer of lower-cased words with single spaces between; start and end of each shingle in it; its row."""
-    start, end, row = words(data, offsets)
-    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    keep = ~SPACE[data]
-    gap = end[end < len(data)]
-    gap = gap[SPACE[data[gap]]]
-    keep[gap] = True
-    lower[gap] = 32
-    moved = np.concatenate([[0], np.cumsum(keep)])
-    a, b = moved[start], moved[start] + (end - start)
-    n = len(start)
-    first = np.searchsorted(row, np.arange(len(offsets) - 1))
-    last = np.append(first[1:], n) - 1  # last word of each row
-    until = np.minimum(np.arange(n) + width - 1, last[row]) if n else np.zeros(0, np.int64)
-    ok = (np.arange(n) + width - 1 <= until) | (np.arange(n) == first[row]) if n else np.zeros(0, bool)
-    return lower[keep].tobytes(), a[ok], b[until[ok]], row[ok]
-
-
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 4) -> np.ndarray:
     """SimHash of each text: bit i is 1 if it is set in over half of the XXH64 hashes of its word shingles."""
     out = np.zeros(len(offsets) - 1, np.uint64)
-    buf, start, end, row = _shingles(data, offsets, width)
+    buf, start, end, row = shingles(data, offsets, width)
     if not len(start):
         return out
     hashed = xxhash.xxh64_intdigest
@@ -58,13 +41,14 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 4) -> np.nd
 
 
 def with_fingerprint(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) for each row."""
+    """``doc_id``, ``th`` (xxhash64 of the text) and ``fp`` (the fingerprint as a signed long) for each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([b.column(0), pa.array(fingerprints(*utf8(b.column(1)), width).view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fingerprints(*utf8(b.column(2)), width).view(np.int64))], ["doc_id", "th", "fp"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, fp long")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    return map_batches(source, run, "doc_id long, th long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -226,12 +210,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: i
     return marked.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates (the smallest id; of rows that share it, one), with the columns of ``docs``.
+def keep_one(
+    docs: DataFrame, width: int = 4, distance: int = 4, similarity: float | None = None, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """One row of each group of near duplicates, with the columns of ``docs``: that of the smallest id, of several that of the smallest text hash.
 
-    Rows with null ids and no group of their own name stay.
+    Groups are linked by fingerprints within ``distance``; or, if a ``similarity`` is given, by texts whose sets of shingles
+    have that Jaccard similarity or more, which a fingerprint within reach of the pigeonhole search does not tell (see
+    :mod:`korpusmill.llm.shingle_dedup`).
+
+    Rows that share an id are told apart by their text, and of rows alike in both one stays; null ids come last; null, empty and
+    blank texts are alike; an empty table gives an empty result; very long texts are read whole. Texts do not move where at
+    most ``broadcast_rows`` rows go.
     """
-    found = near_duplicates(docs, width, distance, doc_id=doc_id, text=text).filter("doc_id = component_id").select(F.col("component_id")).distinct()
-    name = fresh(docs, "component")
-    kept = docs.join(found.withColumnRenamed("component_id", name), F.col(doc_id) == F.col(name)).drop(name).dropDuplicates([doc_id])
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+    if similarity is not None:
+        return shingle_dedup.keep_one(docs, width, similarity, broadcast_rows, doc_id, text)
+    marked = cut(with_fingerprint(docs, width, doc_id, text))
+    found = components(links(marked.select("fp", F.col("fp").alias("id")).distinct(), distance)).withColumnRenamed("node", "fp")
+    rows = marked.groupBy(F.col("doc_id").alias("id"), "th", "fp").agg(F.count("*").alias("copies")).join(found, "fp", "left")
+    return keep_keepers(docs, with_keepers(rows.select("id", "th", "copies", F.coalesce("component", "fp").alias("component"))), broadcast_rows, doc_id, text)

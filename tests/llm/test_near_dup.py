@@ -104,3 +104,11 @@ def test_keep_one(spark):
     out = near_dup.keep_one(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id or -1 for r in out.collect()) == [-1, 2, 9]
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    t = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, t), (1, "alpha text of its own"), (1, "beta text apart"), (2, t + " x"), (None, "beta text apart"), (None, "n"), (None, "n"), (7, "twice"), (7, "twice")]
+    out = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [("1", t), ("1", "alpha text of its own"), ("1", "beta text apart"), ("None", "n"), ("7", "twice")]
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted(want)
