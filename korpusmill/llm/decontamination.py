@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,37 +36,32 @@ def codes(df: DataFrame, text: str, *keep: Column) -> DataFrame:
     return both.select(*[F.col(c) for c in words.columns if c != "words"], F.zip_with("words", "low", code).alias("codes"))
 
 
-def _forms(window: list[Column]) -> Column:
-    """The hashes a window is found by; the first names the window.
-
-    With placeholders for numbers, units and names; where it has a capital, also with its words in lower case, so that letter
-    case does not hide a copy. A window of nothing but placeholders says nothing, so its names, or else all its words,
-    are taken as written.
-    """
-    any_of = lambda test: reduce(or_, [test(x.bitwiseAND(F.lit(3))) for x in window])
-    masked = lambda *kinds: F.xxhash64(*[F.when(x.bitwiseAND(F.lit(3)).isin(*kinds), x.bitwiseAND(F.lit(3))).otherwise(x.bitwiseAND(F.lit(-4))) for x in window])
-    written, cased, full = F.xxhash64(*[x.bitwiseAND(F.lit(-4)) for x in window]), masked(NUMBER, UNIT), masked(NUMBER, UNIT, NAME)
-    return (
-        F.when(~any_of(lambda k: k <= NAME), F.array(written)).when(~any_of(lambda k: k == PLAIN), F.array(cased))
-        .when(any_of(lambda k: k == NAME), F.array(full, cased)).otherwise(F.array(full))
-    )
-
-
 def _windows(coded: DataFrame, width: int, short: list[int]) -> DataFrame:
-    """``pos``, ``win`` and ``w`` of every window of ``width`` tokens, and of those of the ``short`` widths as written."""
-    kept = [F.col(c) for c in coded.columns if c != "codes"]
+    """``pos``, ``win`` and ``w`` of every window of ``width`` tokens, and of those of the ``short`` widths as written.
 
-    def of(n: int) -> DataFrame:
-        size = F.size("codes") - n + 1
-        parts = F.arrays_zip(*[F.slice("codes", i + 1, size).alias(f"t{i}") for i in range(n)])
-        return coded.filter(size > 0).select(*kept, F.posexplode(parts).alias("pos", "window")).select(*kept, "pos", *[F.col(f"window.t{i}") for i in range(n)])
+    A window is found by the hashes ``w``; the first names it, ``win``. Numbers, units and names are placeholders in it; where
+    it has names, it is also found with them in lower case, so that letter case does not hide a copy. A window of nothing but
+    placeholders says nothing, so its names, or else all its words, are taken as written.
 
-    out = of(width)
-    forms = _forms([F.col(f"t{i}") for i in range(width)])
-    out = out.select(*kept, "pos", forms.alias("forms")).select(*kept, "pos", F.get("forms", F.lit(0)).alias("win"), F.explode("forms").alias("w"))
+    An outer explode keeps the optimizer from working the array out once more in a filter below it.
+    """
+    kept = [F.col(c) for c in coded.columns if c != "codes"]
+    low = lambda x: x.bitwiseAND(F.lit(3))
+    word = lambda x: x.bitwiseAND(F.lit(-4))
+    full = F.transform("codes", lambda x: F.when(low(x) == PLAIN, x).otherwise(low(x)))
+    cased = F.transform("codes", lambda x: F.when(low(x) <= NAME, word(x)).otherwise(low(x)))
+    rows = coded.select(*kept, "codes", full.alias("full"), cased.alias("cased"))
+    rows = rows.select(*kept, "codes", "full", "cased", F.posexplode_outer("full").alias("pos", "first")).filter(F.col("pos") <= F.size("codes") - width)
+    at = lambda name: [F.get(name, F.col("pos") + j) for j in range(width)]
+    pure = lambda name: reduce(mul, [low(x) for x in at(name)]) > 0
+    whole = lambda name: F.xxhash64(*at(name))
+    rows = rows.select(*kept, "pos", whole("full").alias("f"), whole("cased").alias("c"), F.when(pure("cased"), F.xxhash64(*[word(x) for x in at("codes")])).alias("r"), pure("full").alias("p"))
+    forms = F.when(F.col("r").isNotNull(), F.array("r")).when(F.col("p"), F.array("c")).when(F.col("f") != F.col("c"), F.array("f", "c")).otherwise(F.array("f"))
+    out = rows.select(*kept, "pos", F.coalesce("r", F.when(F.col("p"), F.col("c")).otherwise(F.col("f"))).alias("win"), F.explode(forms).alias("w"))
     for n in short:
-        whole = F.xxhash64(F.lit(n), *[F.col(f"t{i}").bitwiseAND(F.lit(-4)) for i in range(n)])
-        out = out.unionByName(of(n).select(*kept, "pos", whole.alias("win"), whole.alias("w")))
+        place = coded.select(*kept, "codes", F.posexplode_outer("codes").alias("pos", "first")).filter(F.col("pos") <= F.size("codes") - n)
+        written = F.xxhash64(F.lit(n), *[word(F.get("codes", F.col("pos") + j)) for j in range(n)])
+        out = out.unionByName(place.select(*kept, "pos", written.alias("win"), written.alias("w")))
     return out
 
 
