@@ -109,10 +109,10 @@ def recovery_stats(outcomes: DataFrame, by: list[str], confidences: list[str] =
     return outcomes.groupBy(*by).agg(one("eligible", F.col("eligible")), one("hits", state == "hit"), one("misses", state == "miss"), one("skipped", state == "skipped"), *matched)
 
 
-def has_marker(df: DataFrame, lists: dict[str, Column], texts: list[Column], scalars: list[Column]) -> Column:
+def has_marker(lists: dict, texts: list[Column], scalars: list[Column]) -> Column:
     """Whether a record shows any sign of the newer schema: an element of a list that meets its condition, a filled text, or a scalar that is there.
 
-    lists: a list column to a function of its element, given as a Python callable; nulls are no sign.
+    lists: the name of a list column to the condition on its elements, a function of a column; nulls are no sign.
     """
     signs = [F.exists(F.col(c), test) for c, test in lists.items()] + [F.trim(t) != "" for t in texts] + [s.isNotNull() for s in scalars]
     out = F.lit(False)
@@ -122,7 +122,7 @@ def has_marker(df: DataFrame, lists: dict[str, Column], texts: list[Column], sca
 
 
 def all_runs(log: DataFrame, flags: list[str], kinds: list[str], external: Column, listed: Column, promoting: list[str], run: str = "run_id", by: str = "entity") -> dict[str, DataFrame]:
-    """Every run aggregated again: ``entities`` with their review priority, ``references`` facts and ``stats``, all keyed by run; runs without rows have none."""
+    """Every run aggregated again: ``entities`` with their review priority and ``stats``, keyed by run; runs without rows have none."""
     entities = aggregate_log(log, [run, by], flags)
     p = review_priority(external, listed, F.col("n"), F.col("minutes"), F.col("decisions"), promoting)
     entities = entities.withColumn("_p", p).select(*entities.columns, F.col("_p.priority").alias("priority"), F.col("_p.reason").alias("reason"))
@@ -130,6 +130,6 @@ def all_runs(log: DataFrame, flags: list[str], kinds: list[str], external: Colum
 
 
 def quarantine(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
-    """Records without errors, and the others with theirs. errors: an array with nulls for checks that passed."""
+    """Records without errors, and the others with theirs; :func:`korpusmill.sources.tables.write_split` writes both. errors: an array with nulls for checks that passed."""
     marked = df.withColumn("errors", F.filter(errors, lambda e: e.isNotNull()))
     return marked.filter(F.size("errors") == 0).drop("errors"), marked.filter(F.size("errors") > 0)

@@ -62,6 +62,21 @@ def a32_all_runs(t: Tables) -> DataFrame:
     return D.run_stats(log(t), ["run_id"], KINDS)
 
 
+@query(
+    L + """, day AS (SELECT entity, run_id, count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(sum(coalesce(minutes, 0)), 2) AS minutes, list_sort(list(DISTINCT coalesce(decision, 'discard'))) AS ds, bool_or(external) AS external, bool_or(listed) AS listed FROM log GROUP BY 1, 2)
+SELECT run_id, entity, n, n_docs, minutes, array_to_string(ds, ',') AS decisions, CASE WHEN external AND list_contains(ds, 'discard') THEN 'high' WHEN n >= 3 AND NOT list_has_any(ds, ['purchase', 'signup']) THEN 'high' WHEN minutes >= 20 AND n >= 2 AND NOT list_has_any(ds, ['purchase', 'signup']) THEN 'high'
+ WHEN n >= 2 AND len(ds) > 1 THEN 'high' WHEN listed AND list_contains(ds, 'discard') THEN 'medium' ELSE 'low' END AS priority FROM day"""
+)
+def a32_all_entities(t: Tables) -> DataFrame:
+    out = D.all_runs(log(t), ["external", "listed"], KINDS, F.col("external"), F.col("listed"), ["purchase", "signup"])["entities"]
+    return out.select("run_id", "entity", "n", "n_docs", "minutes", F.array_join("decisions", ",").alias("decisions"), "priority")
+
+
+@query(L + f"SELECT run_id, {STATS} FROM log GROUP BY 1")
+def a32_all_stats(t: Tables) -> DataFrame:
+    return D.all_runs(log(t), ["external", "listed"], KINDS, F.col("external"), F.col("listed"), ["purchase", "signup"])["stats"]
+
+
 @query("""WITH r AS (SELECT p_name AS title, p_brand AS author, CASE WHEN p_size > 25 THEN p_type END AS domain, p_partkey AS seq FROM part),
 f AS (SELECT title, author, min(seq) AS s FROM r GROUP BY 1, 2)
 SELECT title AS book_title, (SELECT string_agg(author, ',' ORDER BY s) FROM f WHERE f.title = r.title) AS authors, arg_min(domain, seq) FILTER (domain IS NOT NULL) AS domain, count(*) AS n FROM r GROUP BY 1""")
@@ -192,16 +207,24 @@ def r16_weighted_rank(t: Tables) -> DataFrame:
     return ranking.weighted_rank(_agg(t), {"n": 0.3, "n_docs": 0.2, "minutes": 0.5}, "entity")
 
 
-@query(L + "SELECT entity, count(*) FILTER (decision = 'purchase') AS hits, count(*) FILTER (decision = 'error') AS misses, count(*) FILTER (decision IS NULL) AS skipped FROM log GROUP BY 1")
+CONF = {"high": "k >= 60", "medium": "k BETWEEN 30 AND 59", "low": "k < 30"}
+
+
+@query(L + "SELECT entity, count(*) FILTER (k >= 20) AS eligible, count(*) FILTER (decision = 'purchase') AS hits, count(*) FILTER (decision = 'error') AS misses, count(*) FILTER (decision IS NULL) AS skipped, "
+       + ", ".join(f"count(*) FILTER (decision IN ('purchase', 'error') AND {c}) AS matched_{n}" for n, c in CONF.items()) + " FROM log GROUP BY 1")
 def a24_recovery_stats(t: Tables) -> DataFrame:
-    return log(t).groupBy("entity").agg(F.count_if(F.col("decision") == "purchase").alias("hits"), F.count_if(F.col("decision") == "error").alias("misses"), F.count_if(F.col("decision").isNull()).alias("skipped"))
+    state = F.when(F.col("decision") == "purchase", "hit").when(F.col("decision") == "error", "miss").when(F.col("decision").isNull(), "skipped")
+    confidence = F.when(F.col("k") >= 60, "high").when(F.col("k") >= 30, "medium").otherwise("low")
+    return D.recovery_stats(log(t).select("entity", (F.col("k") >= 20).alias("eligible"), state.alias("state"), confidence.alias("confidence")), ["entity"])
 
 
-@query("SELECT c.c_custkey, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F') AS v03 FROM customer c")
+@query("""SELECT c.c_custkey, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P') OR EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 490000)
+ OR trim(CASE WHEN c_acctbal > 9900 THEN c_name ELSE ' ' END) <> '' OR (c_acctbal < -950) AS v03 FROM customer c""")
 def p18_schema_version(t: Tables) -> DataFrame:
-    marks = t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("marks"))
+    marks = t.orders.groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("marks"), F.collect_list(F.when(F.col("o_totalprice") > 490000, F.col("o_totalprice"))).alias("prices"))
     out = t.customer.join(marks, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return out.select("c_custkey", F.coalesce(F.exists("marks", lambda m: m == "F"), F.lit(False)).alias("v03"))
+    note, scalar = F.when(F.col("c_acctbal") > 9900, F.col("c_name")).otherwise(" "), F.when(F.col("c_acctbal") < -950, F.col("c_acctbal"))
+    return out.select("c_custkey", D.has_marker({"marks": lambda m: m == "P", "prices": lambda p: p > 490000}, [note], [scalar]).alias("v03"))
 
 
 @query(L + ", d AS (SELECT doc_id, count(*) FILTER (decision = 'purchase') AS a, count(*) FILTER (decision = 'error') AS b FROM log GROUP BY 1) SELECT doc_id, a = 0 AND b = 0 AS rejected FROM d")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 META = "video_id string, title string, category string, channel string, upload_date string, duration int, url string"
 ENTITY = "surface_form string, canonical_guess string, page_type string, minutes_estimate double, decision string, quote_evidence string, reason_code string, review_priority string"
 RECORD = f"video_id string, video_title string, category string, entities array<struct<{ENTITY.replace(' string', ':string').replace(' double', ':double')}>>, promote_new array<struct<{ENTITY.replace(' string', ':string').replace(' double', ':double')}>>, discarded array<struct<{ENTITY.replace(' string', ':string').replace(' double', ':double')}>>, _corrupt string"
-#: Files of a run that hold aggregates, not records.
+#: Files of a run that hold aggregates, not records. Fixed values, as are the field names above: both must match the files.
 AGGREGATES = ("discard_log", "pending_updates", "promote_queue", "thesis_candidates", "blocks_filtered", "recommended_references", "aggregation_stats")
 
 
@@ -91,10 +91,22 @@ def read_json_lines(spark: SparkSession, paths: list[str], schema: str | None =
     return reader.json(paths)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` and those of ``old`` whose keys are not in it; of rows of ``new`` with equal keys the greatest by all columns. A second run changes nothing."""
-    rest = [F.col(c) for c in sorted(set(new.columns) - set(keys))]
-    last = new.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*[c.desc() for c in rest] or keys))).filter("_n = 1").drop("_n")
+def latest(df: DataFrame, keys: list[str], order: list[str] = []) -> DataFrame:  # noqa: B006
+    """The last row of each key by ``order`` (nulls first), then by all columns."""
+    rest = [c for c in sorted(set(df.columns) - set(keys)) if c not in order]
+    w = W.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in [*order, *rest]] or keys)
+    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] = []) -> DataFrame:  # noqa: B006
+    """Rows of ``old`` and ``new``, one for each key. A second run changes nothing.
+
+    With ``order`` (a time, a version) the last row of a key wins wherever it comes from, so a record that arrives late does not
+    replace a newer one. Without it ``new`` wins, and of its rows with equal keys the greatest by all columns.
+    """
+    if order:
+        return latest(old.unionByName(new), keys, order)
+    last = latest(new, keys)
     return old.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 
@@ -104,12 +116,86 @@ def replace_where(old: DataFrame, new: DataFrame, condition: Column) -> DataFram
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, version: str, partition: str | None = None) -> dict[str, int]:
-    """Each table below ``root/version``; returns rows per table. Readers move to the version once all are written."""
+    """Each table below ``root/version``, then the pointer of ``root`` to it; returns rows per table, counted while writing.
+
+    Readers (:func:`read_snapshot`) go by the pointer, a file that is renamed into place once all tables are written; so they
+    see all of the old version or all of the new one.
+    """
+    counts = {}
     for name, df in tables.items():
-        writer = df.write.mode("overwrite")
+        seen = Observation()
+        writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
         (writer.partitionBy(partition) if partition and partition in df.columns else writer).parquet(f"{root}/{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    return {name: spark.read.parquet(f"{root}/{version}/{name}").count() for name in tables}
+        counts[name] = seen.get["n"]
+    _point(next(iter(tables.values())).sparkSession, root, version)
+    return counts
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
+    """Write ``root/CURRENT`` beside its place and rename it over the old one, through the file system that Spark uses."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, place = (jvm.org.apache.hadoop.fs.Path(f"{root}/{name}") for name in ("CURRENT.new", "CURRENT"))
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    option = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf).rename(new, place, options)
+
+
+def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the version that ``root`` points to."""
+    version = spark.read.text(f"{root}/CURRENT").first().value
+    return spark.read.parquet(f"{root}/{version}/{name}")
+
+
+#: The review queues of a run; the names are fixed by the file format.
+QUEUES = AGGREGATES
+
+
+def write_queues(queues: dict[str, DataFrame], root: str, run: str = "run_id") -> None:
+    """The seven review queues below ``root``, each partitioned by run; runs that are written again are replaced, others stay."""
+    missing = set(QUEUES) - set(queues)
+    if missing:
+        raise ValueError(f"queues without a table: {sorted(missing)}")
+    for name in QUEUES:
+        queues[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(f"{root}/{name}")
+
+
+def write_split(df: DataFrame, errors: Column, good: str, bad: str) -> dict[str, int]:
+    """Records without errors to ``good``, the others with their ``errors`` to ``bad``; returns rows of each. errors: an array with nulls for checks that passed."""
+    marked = df.withColumn("errors", F.filter(errors, lambda e: e.isNotNull()))
+    counts = {}
+    for path, rows in ((good, marked.filter(F.size("errors") == 0).drop("errors")), (bad, marked.filter(F.size("errors") > 0))):
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+        counts[path] = seen.get["n"]
+    return counts
+
+
+#: Fields of an entry of the whitelist and of a topic rule; both must match the files.
+WHITELIST_ENTRY = "page_id_canonical string, name string, auto_promote boolean, domain_primary string, reason string"
+TOPIC_RULE = "pattern string, reason string, scope string"
+
+
+def load_whitelist(json_text: DataFrame, column: str = "value") -> DataFrame:
+    """Rows (kind, page_id, name, auto_promote, domain_primary, reason) of a JSON object that has a list of entries for each kind. Keys that hold anything else, and entries without a name, are left out."""
+    lists = json_text.select(F.explode(F.from_json(F.col(column), "map<string, string>")).alias("kind", "v")).filter(F.startswith(F.trim("v"), F.lit("[")))
+    items = lists.select("kind", F.explode(F.from_json("v", "array<string>")).alias("x")).filter(F.startswith("x", F.lit("{")))
+    entries = items.select("kind", F.from_json("x", WHITELIST_ENTRY).alias("e")).filter("trim(e.name) <> ''")
+    return entries.select("kind", F.col("e.page_id_canonical").alias("page_id"), F.trim("e.name").alias("name"), F.coalesce("e.auto_promote", F.lit(False)).alias("auto_promote"), "e.domain_primary", "e.reason")
+
+
+def load_topic_filters(json_text: DataFrame, column: str = "value", field: str = "exclude_patterns") -> DataFrame:
+    """Rows (pattern, reason, scope) of a JSON object with a list of rules; rules without a pattern are left out."""
+    rules = json_text.select(F.explode(F.from_json(F.get_json_object(F.col(column), f"$.{field}"), f"array<struct<{TOPIC_RULE.replace(' string', ': string')}>>")).alias("r"))
+    return rules.select("r.*").filter("pattern is not null and pattern <> ''")
+
+
+def load_globs(json_text: DataFrame, column: str = "value", field: str = "include_domains") -> list[str]:
+    """The domain globs of the same file, for :func:`korpusmill.operators.filters.domain_gate`; a few lines of policy."""
+    return [r.g for r in json_text.select(F.explode(F.from_json(F.get_json_object(F.col(column), f"$.{field}"), "array<string>")).alias("g")).limit(10_000).collect()]
 
 
 def backfill(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -117,6 +203,23 @@ def backfill(df: DataFrame, column: str, value: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in df.columns else F.lit(value))
 
 
+def migration_report(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
+    """``name``, rows before and after, and whether they are equal, for each table; one job."""
+    one = [t.select(F.lit(name).alias("name"), F.lit(side).alias("side")) for side, tables in (("before", old), ("after", new)) for name, t in tables.items()]
+    rows = one[0]
+    for t in one[1:]:
+        rows = rows.unionByName(t)
+    names = rows.sparkSession.createDataFrame([(n,) for n in old], "name string")
+    counts = rows.groupBy("name").agg(F.count_if(F.col("side") == "before").alias("n_before"), F.count_if(F.col("side") == "after").alias("n_after"))
+    out = names.join(counts, "name", "left").fillna(0, ["n_before", "n_after"])
+    return out.withColumn("equal", F.col("n_before") == F.col("n_after"))
+
+
+def created_at(pages: DataFrame, indexed: str = "indexed_at") -> str | None:
+    """When a project began: the earliest time at which one of its pages was indexed."""
+    return pages.agg(F.min(indexed).alias("t")).first().t
+
+
 def migrate(tables: dict[str, DataFrame], project: str, renamed: dict[str, str]) -> dict[str, DataFrame]:
     """Tables with a project key and columns renamed."""
     return {name: backfill(df, "project_id", project).withColumnsRenamed({a: b for a, b in renamed.items() if a in df.columns}) for name, df in tables.items()}
@@ -131,4 +234,4 @@ def flatten_pages(json_pages: DataFrame, column: str, schema: str) -> DataFrame:
     return json_pages.select(F.explode(F.from_json(F.col(column), schema)["results"]).alias("r")).select("r.*")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "SparkSession", "F", "T", "W")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "Observation", "SparkSession", "F", "T", "W")]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpusmill.sources.tables import upsert
+from korpusmill.sources.tables import latest
 
 
 def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
@@ -38,26 +38,42 @@ def sessions(events: DataFrame, gap: str = "30 minutes", user: str = "user_id",
     return out.select(user, F.col("s.start").alias("start"), "n")
 
 
-def run_stream(spark: SparkSession, source: str, schema, transform, target: str, checkpoint: str, keys: list[str], most_files: int = 20) -> None:
+def run_stream(
+    spark: SparkSession, source: str, schema, transform, target: str, checkpoint: str, keys: list[str], most_files: int = 20, order: list[str] = [], before_batch=None,  # noqa: B006
+) -> None:
     """Process what is new below ``source`` and stop. Micro-batches of ``most_files`` go through ``transform`` and into ``target``.
 
-    The checkpoint remembers what was read. Each batch is upserted by ``keys`` into its own version of the target, and a
-    batch that runs again after a failure writes the same version, so the outcome is the same.
+    The checkpoint remembers what was read. A batch is reduced to the last row of each key by ``order`` and written as one
+    partition ``batch=<number>``; nothing that is there is read or written again, so the work of a batch is that of its own
+    rows. A batch that runs again after a failure replaces its own partition. Read the table by :func:`read_stream`, and
+    fold old batches now and then by :func:`compact`.
+
+    ``before_batch`` (spark -> anything) is called for each batch and its result is passed to ``transform`` after the batch,
+    so that a batch sees what the batches before it have written, such as pages that they created.
     """
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        s = batch.sparkSession
-        new = transform(batch)
-        if epoch:
-            new = upsert(s.read.parquet(f"{target}/v={epoch - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{target}/v={epoch}")
+    def write(batch: DataFrame, number: int) -> None:
+        new = transform(batch) if before_batch is None else transform(batch, before_batch(batch.sparkSession))
+        latest(new, keys, order).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def read_stream(spark: SparkSession, target: str, keys: list[str], order: list[str] = []) -> DataFrame:  # noqa: B006
+    """The table that :func:`run_stream` keeps: the last row of each key by ``order``, and of equals that of the last batch."""
+    return latest(spark.read.parquet(target), keys, [*order, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, target: str, into: str, keys: list[str], order: list[str] = []) -> None:  # noqa: B006
+    """The batches of ``target`` folded into one of the last number, in a new folder, where the stream can go on."""
+    whole = spark.read.parquet(target)
+    last = whole.agg(F.max("batch").alias("b")).first().b
+    latest(whole, keys, [*order, "batch"]).drop("batch").write.mode("overwrite").parquet(f"{into}/batch={last}")
+
+
 def stream_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over what is there and return its result; for small results, as tests and reports need."""
+    """Run a streaming query over what is there and return its result, which is held by the driver: windowed counts and the like, for reports and tests."""
     df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.table(name)
 

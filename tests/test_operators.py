@@ -201,15 +201,69 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     pick = lambda df: df.select("event_id", "event_type", "value")
     go = lambda: incremental.run_stream(spark, str(tmp_path / "in"), events.schema, pick, str(tmp_path / "out"), str(tmp_path / "ck"), ["event_id"], 1)
     go()
-    last = max((tmp_path / "out").glob("v=*"), key=lambda p: int(p.name[2:]))
-    assert spark.read.parquet(str(last)).count() == events.count()
+    batches = sorted(p.name for p in (tmp_path / "out").glob("batch=*"))
+    assert len(batches) == 3 and incremental.read_stream(spark, str(tmp_path / "out"), ["event_id"]).count() == events.count()
     go()  # nothing new: nothing happens
-    assert max((tmp_path / "out").glob("v=*"), key=lambda p: int(p.name[2:])) == last
+    assert sorted(p.name for p in (tmp_path / "out").glob("batch=*")) == batches
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     first = incremental.stream_to_memory(incremental.dedupe_open(stream.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "400 days"), "dedupe_open", "append")
     assert first.count() == events.select("user_id", "event_type").distinct().count()
 
 
+def test_stream_keeps_the_latest_record(spark, tmp_path):
+    schema = "key int, at int, value string"
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, seen = str(tmp_path / "out"), []
+    before = lambda s: s.read.parquet(out).count() if seen else 0
+
+    def transform(batch, known):
+        seen.append(known)
+        return batch
+
+    go = lambda: incremental.run_stream(spark, str(tmp_path / "in"), schema, transform, out, str(tmp_path / "ck"), ["key"], 10, ["at"], before)
+    table = lambda at: sorted(map(tuple, incremental.read_stream(spark, at, ["key"], ["at"]).collect()))
+    put((1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 5, "x"), (3, None, "n"))  # repeated keys in the first batch
+    go()
+    assert table(out) == [(1, 3, "c"), (2, 5, "x"), (3, None, "n")]
+    first = (tmp_path / "out" / "batch=0").stat().st_mtime
+    put((1, 2, "late"), (2, 6, "y"), (3, 1, "m"), (4, 1, "z"))  # an older record that arrives later
+    go()
+    want = [(1, 3, "c"), (2, 6, "y"), (3, 1, "m"), (4, 1, "z")]
+    assert table(out) == want and (tmp_path / "out" / "batch=0").stat().st_mtime == first and seen == [0, 3]
+    incremental.compact(spark, out, str(tmp_path / "folded"), ["key"], ["at"])
+    assert table(str(tmp_path / "folded")) == want and [p.name for p in (tmp_path / "folded").glob("batch=*")] == ["batch=1"]
+    old, new = spark.createDataFrame([(1, 3, "c"), (2, 1, "x")], schema), spark.createDataFrame([(1, 2, "late"), (2, 2, "y"), (2, 3, "z")], schema)
+    assert sorted(map(tuple, tables.upsert(old, new, ["key"], ["at"]).collect())) == [(1, 3, "c"), (2, 3, "z")]
+
+
+def test_pointer_queues_and_quarantine(spark, tmp_path):
+    df = spark.createDataFrame([(1, "r1"), (2, "r2")], "id int, run_id string")
+    root = str(tmp_path / "snap")
+    assert tables.write_snapshot({"t": df}, root, "v1") == {"t": 2} and tables.read_snapshot(spark, root, "t").count() == 2
+    assert tables.write_snapshot({"t": df.limit(1)}, root, "v2") == {"t": 1} and tables.read_snapshot(spark, root, "t").count() == 1
+    queues = {name: df for name in tables.QUEUES}
+    tables.write_queues(queues, str(tmp_path / "q"))
+    tables.write_queues({name: df.filter("id = 2").withColumn("id", F.lit(9)) for name in tables.QUEUES}, str(tmp_path / "q"))
+    assert all(sorted(r.id for r in spark.read.parquet(str(tmp_path / "q" / name)).collect()) == [1, 9] for name in tables.QUEUES)
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    assert tables.write_split(df, F.array(F.when(F.col("id") == 2, "even")), good, bad) == {good: 1, bad: 1}
+    assert spark.read.parquet(bad).first().errors == ["even"] and spark.read.parquet(good).columns == df.columns
+    new = tables.migrate({"t": df, "u": df}, "p", {"id": "source_id"})
+    report = tables.migration_report({"t": df, "u": df}, {**new, "u": new["u"].limit(1)})
+    assert sorted(map(tuple, report.collect())) == [("t", 2, 2, True), ("u", 2, 1, False)]
+    assert tables.created_at(spark.createDataFrame([("2024-02-01",), ("2023-05-01",), (None,)], "indexed_at string")) == "2023-05-01"
+
+
+def test_policy_files(spark):
+    text = json.dumps({"version": 1, "note": "x", "policy_notes": ["a note"], "authors": [{"page_id_canonical": "ann", "name": " Ann ", "auto_promote": True}, {"name": ""}], "works": [{"name": "W2"}, {"other": 1}], "empty": []})
+    got = tables.load_whitelist(spark.createDataFrame([(text,)], "value string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [("authors", "ann", "Ann", True, None, None), ("works", None, "W2", False, None, None)]
+    text = json.dumps({"include_domains": ["a.*"], "exclude_patterns": [{"pattern": "a.b", "scope": "title", "reason": "r"}, {"scope": "no pattern"}, {"pattern": "c"}]})
+    got = tables.load_topic_filters(spark.createDataFrame([(text,)], "value string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [("a.b", "r", "title"), ("c", None, None)]
+    assert tables.load_globs(spark.createDataFrame([(text,)], "value string")) == ["a.*"]
+
+
 def test_filters_reach_the_scan(spark, sf_dir):
     df = filters.equals(spark.read.parquet(f"{sf_dir}/orders.parquet"), {"o_orderstatus": "F"}).select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
