@@ -47,10 +47,10 @@ def sources_of(relations: DataFrame) -> DataFrame:
 
 def drift(relations: DataFrame, links: DataFrame) -> DataFrame:
     """Edges that stand in one kind only."""
-    r = relations.select("from_page_id", "to_page_id").distinct()
-    k = links.select(F.col("page_id").alias("from_page_id"), F.col("target_page_id").alias("to_page_id")).distinct()
-    keys = ["from_page_id", "to_page_id"]
-    return k.join(r, keys, "left_anti").withColumn("only_in", F.lit("wikilink")).unionByName(r.join(k, keys, "left_anti").withColumn("only_in", F.lit("relation")))
+    r = relations.select("from_page_id", "to_page_id", F.lit("relation").alias("kind"))
+    k = links.select(F.col("page_id").alias("from_page_id"), F.col("target_page_id").alias("to_page_id"), F.lit("wikilink").alias("kind"))
+    both = r.unionByName(k).groupBy("from_page_id", "to_page_id").agg(F.min("kind").alias("only_in"), F.max("kind").alias("_last"))
+    return both.filter("only_in = _last").drop("_last")
 
 
 def counts(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.operators import decisions, patches, projects
-from korpusmill.plans.registry import Tables, query
+from korpusmill.plans.registry import Tables, query, scratch
 from korpusmill.streaming import incremental as I
 
 
@@ -34,6 +34,70 @@ def e4_ordered_updates(t: Tables) -> DataFrame:
     return patches.apply_updates(pages, ups, limit=50)
 
 
+MD = "md AS (SELECT conv_id, string_agg('## ' || role || chr(10) || '- ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1)"
+
+
+def _pages(t: Tables) -> DataFrame:
+    from korpusmill.plans.text import markdown
+
+    return markdown(t).select(F.col("conv_id").alias("page_id"), F.col("body").alias("text"))
+
+
+def _outcome(out: DataFrame) -> DataFrame:
+    return out.select("page_id", F.md5("new_text").alias("new_text"), "n_applied", "log")
+
+
+@query(f"""WITH {MD}, l AS (SELECT conv_id, string_split(body, chr(10)) AS x, CASE WHEN conv_id % 5 = 0 THEN 'nobody' ELSE 'assistant' END AS h FROM md),
+s AS (SELECT conv_id, x, list_position(list_transform(x, lambda v: regexp_full_match(lower(v), '##\s+' || h || '\s*')), true) AS st FROM l),
+e AS (SELECT conv_id, x, st, coalesce(list_position(list_transform(x[st + 1:], lambda v: regexp_matches(v, '^#{{1,2}}\s')), true) + st, len(x) + 1) AS en FROM s),
+k AS (SELECT conv_id, x, st, coalesce(list_max(list_filter(range(st + 1, en), lambda i: trim(x[i], ' ' || chr(9) || chr(10) || chr(13)) <> '')), st) AS last FROM e)
+SELECT conv_id AS page_id, md5(array_to_string(CASE WHEN coalesce(st, 0) = 0 THEN x ELSE x[1:last] || ['- added to ' || conv_id] || x[last + 1:] END, chr(10))) AS new_text, CAST(coalesce(st, 0) > 0 AS INT) AS n_applied, CASE WHEN coalesce(st, 0) > 0 THEN 'applied' ELSE 'section_missing' END AS log FROM k""")
+def e2_append_section(t: Tables) -> DataFrame:
+    """A bullet at the end of the first section of that name, one for each page; a fifth of the pages are asked for a section that they lack."""
+    heading = F.when(F.col("page_id") % 5 == 0, "nobody").otherwise("assistant")
+    ups = _pages(t).select("page_id", F.lit(1).alias("seq"), F.lit("append_section").alias("kind"), heading.alias("anchor"), F.concat(F.lit("- added to "), "page_id").alias("content"))
+    return _outcome(patches.apply_updates(_pages(t), ups))
+
+
+@query(f"""WITH {MD}, g AS (SELECT conv_id, CASE WHEN conv_id % 3 = 1 THEN 'abc ' ELSE '' END || arg_min(substr(text, 1, 60), turn) AS gap FROM conversations WHERE turn > 0 GROUP BY 1),
+l AS (SELECT md.conv_id, string_split(body, chr(10)) AS x, lower(trim(gap, ' ' || chr(9) || chr(10) || chr(13))) AS gap, list_transform(list_filter(regexp_extract_all(gap, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 4)[1:3], lambda w: lower(w)) AS ws FROM md JOIN g USING (conv_id)),
+p AS (SELECT conv_id, x, coalesce(nullif(list_position(list_transform(x, lambda v: starts_with(v, '- ') AND contains(lower(v), gap)), true), 0),
+ CASE WHEN len(ws) > 0 THEN nullif(list_position(list_transform(x, lambda v: starts_with(v, '- ') AND len(list_filter(ws, lambda w: NOT contains(lower(v), w))) = 0), true), 0) END) AS i FROM l)
+SELECT conv_id AS page_id, md5(array_to_string(CASE WHEN i IS NULL THEN x ELSE x[1:i - 1] || ['<!-- resolved -->'] || x[i:] END, chr(10))) AS new_text, CAST(i IS NOT NULL AS INT) AS n_applied, CASE WHEN i IS NULL THEN 'gap_missing' ELSE 'applied' END AS log FROM p""")
+def e3_resolve_gap(t: Tables) -> DataFrame:
+    """A marker before the bullet that states a gap: literally, or for a third of the pages, whose gap has a word put before it, by its longer words."""
+    gap = t.conversations.filter("turn > 0").groupBy(F.col("conv_id").alias("page_id")).agg(F.min_by(F.substring("text", 1, 60), "turn").alias("g"))
+    anchor = F.concat(F.when(F.col("page_id") % 3 == 1, "abc ").otherwise(""), "g")
+    ups = gap.select("page_id", F.lit(1).alias("seq"), F.lit("resolve_gap").alias("kind"), anchor.alias("anchor"), F.lit("<!-- resolved -->").alias("content"))
+    return _outcome(patches.apply_updates(_pages(t).join(gap.select("page_id"), "page_id", "left_semi"), ups))
+
+
+def _fold_sql(order: str) -> str:
+    return f"""WITH RECURSIVE {MD}, u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS k, substr(text, 1, 9) AS a, 'note ' || turn AS c, turn % 3 AS kind FROM conversations WHERE length(text) > 0),
+f(conv_id, k, t, n) AS (SELECT conv_id, CAST(0 AS BIGINT), body, 0 FROM md UNION ALL
+ SELECT f.conv_id, u.k, CASE WHEN length(t) - length(replace(t, a, '')) = length(a) THEN replace(t, a, CASE kind WHEN 0 THEN a || ' ' || c WHEN 1 THEN c ELSE a || chr(10) || c END) ELSE t END, n + CAST(length(t) - length(replace(t, a, '')) = length(a) AS INT)
+ FROM f JOIN u ON u.conv_id = f.conv_id AND u.k = f.k + 1)
+SELECT conv_id AS page_id, md5(t) AS new_text, n AS n_applied FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1"""
+
+
+def _anchored(t: Tables) -> DataFrame:
+    kind = F.when(F.col("turn") % 3 == 0, "extend").when(F.col("turn") % 3 == 1, "replace").otherwise("insert_after")
+    return t.conversations.filter("length(text) > 0").select(F.col("conv_id").alias("page_id"), "turn", kind.alias("kind"), F.substring("text", 1, 9).alias("anchor"), F.concat(F.lit("note "), "turn").alias("content"))
+
+
+@query(_fold_sql("turn"))
+def e4_anchor_fold(t: Tables) -> DataFrame:
+    """Edits by anchor, each on what the last one left: an anchor that an edit doubled or took away is found no more."""
+    return patches.apply_updates(_pages(t), _anchored(t).withColumnRenamed("turn", "seq")).select("page_id", F.md5("new_text").alias("new_text"), "n_applied")
+
+
+@query(_fold_sql("turn % 2, -turn"))
+def e9_replay(t: Tables) -> DataFrame:
+    """The same edits from two logged files, the one of even turns written first, the last turn of each first."""
+    records = _anchored(t).select("*", (F.col("turn") % 2).alias("mtime"), F.lit("a").alias("file"), (-F.col("turn")).alias("idx"))
+    return patches.replay(_pages(t), records).select("page_id", F.md5("new_text").alias("new_text"), "n_applied")
+
+
 @query("SELECT conv_id AS page_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 5")
 def e5_over_limit(t: Tables) -> DataFrame:
     return patches.over_limit(t.conversations.withColumnRenamed("conv_id", "page_id"), 5)
@@ -99,6 +163,16 @@ def t8_streamed_rates(t: Tables) -> DataFrame:
     return I.stream_to_memory(I.event_rates(stream, "1 day"), f"rates_{uuid.uuid4().hex[:8]}")
 
 
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def t1_t3_stream_latest(t: Tables) -> DataFrame:
+    """The last event of each user, kept by a stream that appends its batches and remembers what it has read."""
+    import uuid
+
+    root = f"{scratch(t.spark)}/stream-{uuid.uuid4().hex[:12]}"
+    I.run_stream(t.spark, f"{t.sf_dir}/event[s].parquet", t.events.schema, lambda b: b.select("user_id", "ts", "event_id", "event_type"), f"{root}/table", f"{root}/state", ["user_id"], order=["ts", "event_id"])
+    return I.read_stream(t.spark, f"{root}/table", ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "ts")
+
+
 @query("SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type) AS k FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 300)) WHERE k = 1")
 def t5_apply_once(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_id", "event_type")

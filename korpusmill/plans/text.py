@@ -26,6 +26,33 @@ def f3_f4_time_text(t: Tables) -> DataFrame:
     return t.events.select("event_id", seconds.alias("seconds"), T.seconds_to_time(seconds).alias("stamp"))
 
 
+@query("SELECT p_brand AS type, 'edge ' || p_brand AS description, max(p_type) AS inverse, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS from_types, CAST(0 AS INT) AS n_to FROM part GROUP BY 1")
+def s7_dictionary(t: Tables) -> DataFrame:
+    """A dictionary of edge types as the JSON object that its file would hold, a type for each brand."""
+    kinds = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("from"))
+    entry = F.struct(F.concat(F.lit("edge "), "p_brand").alias("description"), F.array_max("from").alias("inverse"), "from", F.array().cast("array<string>").alias("to"))
+    text = kinds.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("p_brand", entry.alias("e")))).alias("types"))).alias("value"))  # a brand is one of a few
+    out = tables.flatten_dictionary(text)
+    return out.select("type", "description", "inverse", F.array_join(F.array_sort("from_types"), ",").alias("from_types"), F.size("to_types").alias("n_to"))
+
+
+@query("SELECT 'nations_' || n_regionkey AS kind, 'n' || n_nationkey AS page_id, n_name AS name, n_nationkey % 2 = 0 AS auto_promote FROM nation UNION ALL SELECT 'segments', NULL, c_mktsegment, false FROM customer GROUP BY c_mktsegment")
+def s8_whitelist(t: Tables) -> DataFrame:
+    """A whitelist as the JSON object that its file would hold: nations by region, and market segments without an id."""
+    named = t.nation.select(F.concat(F.lit("nations_"), "n_regionkey").alias("kind"), F.struct(F.concat(F.lit("n"), "n_nationkey").alias("page_id_canonical"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 2 == 0).alias("auto_promote")).alias("e"))
+    plain = t.customer.select(F.lit("segments").alias("kind"), F.struct(F.lit(None).cast("string").alias("page_id_canonical"), F.col("c_mktsegment").alias("name"), F.lit(None).cast("boolean").alias("auto_promote")).alias("e")).distinct()
+    lists = named.unionByName(plain).groupBy("kind").agg(F.collect_list("e").alias("es"))
+    text = lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "es")))).alias("value"))
+    return tables.load_whitelist(text).select("kind", "page_id", "name", "auto_promote")
+
+
+@query("SELECT r_regionkey AS page, n_nationkey AS id, n_name AS display_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def s15_listing(t: Tables) -> DataFrame:
+    """Pages of a listing, one for each region, as downloaded JSON."""
+    pages = t.nation.groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("n_regionkey").alias("page"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("display_name"))).alias("results"))).alias("body"))
+    return tables.flatten_pages(pages, "body", "results array<struct<page: bigint, id: bigint, display_name: string>>")
+
+
 @query("SELECT page_id, CASE WHEN page_id % 7 > 0 THEN url || '?t=' || page_id % 7 ELSE url END AS link FROM pages")
 def f5_deep_link(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.deep_link(F.col("url"), F.col("page_id") % 7).alias("link"))
