@@ -53,10 +53,10 @@ def test_small(spark):
     check(spark, [])
 
 
-def test_documents(spark):
+def test_documents(spark, sf_dir):
     import pyarrow.parquet as pq
 
-    d = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()
+    d = pq.read_table(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").to_pydict()
     check(spark, [(i, t, "") for i, t in zip(d["doc_id"], d["text"], strict=True)])
 
 

@@ -74,10 +74,10 @@ def test_crowded_anchors(spark, local, crowd, monkeypatch):
     assert got == sorted(brute(source))
 
 
-def test_documents(spark):
+def test_documents(spark, sf_dir):
     import pyarrow.parquet as pq
 
-    d = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pydict()
+    d = pq.read_table(f"{sf_dir}/documents.parquet").to_pydict()
     check(spark, [(i, t, "") for i, t in zip(d["doc_id"], d["text"], strict=True)])
 
 

@@ -28,8 +28,8 @@ def test_other_numbers(spark):
     assert digits[4][0] not in "01" and digits[4][3] not in "01"
 
 
-def test_supplied_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def test_supplied_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     secret, phone = r'(?i)token = "[0-9a-f]{40}"', r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
     before = {r.doc_id: r.text or "" for r in docs.collect()}
     after = {r.doc_id: r.text or "" for r in pseudonyms.pseudonymise(docs).collect()}
