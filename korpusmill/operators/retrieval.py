@@ -272,3 +272,10 @@ def evaluate(ranked: DataFrame, labels: DataFrame, lanes: list[str], k: int = 5)
     at = ranked.join(labels, ["query_id", "id"]).groupBy("query_id").pivot("lane", lanes).agg(F.min("rank"))
     out = labels.select("query_id").distinct().join(at, "query_id", "left")
     return out.select("query_id", *lanes, *[(F.coalesce(F.col(x), F.lit(1 << 30)) <= k).cast("int").alias(f"{x}_hit") for x in lanes])
+
+
+def lane_summary(evaluated: DataFrame, lanes: list[str]) -> DataFrame:
+    """Of :func:`evaluate`, per lane: queries, the share with a hit among the first k, and the mean reciprocal rank (0 where the label is absent)."""
+    rows = evaluated.select(F.explode(F.array(*[F.struct(F.lit(x).alias("lane"), F.col(x).alias("at"), F.col(f"{x}_hit").alias("hit")) for x in lanes])).alias("r"))
+    reciprocal = F.when(F.col("r.at") > 0, 1 / F.col("r.at")).otherwise(0.0)
+    return rows.groupBy("r.lane").agg(F.count("*").alias("n"), F.round(F.avg("r.hit"), 6).alias("recall"), F.round(F.avg(reciprocal), 6).alias("mrr"))

@@ -226,6 +226,47 @@ def r9_evaluation(t: Tables) -> DataFrame:
     return R.evaluate(lanes.unionByName(fused), labels, names, 5).fillna(0, names)
 
 
+DENSE = """,
+qd AS (SELECT query_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS d, count(*) AS n FROM (SELECT query_id, unnest(qw) AS w FROM u) GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(n * n)) AS z FROM qd GROUP BY 1),
+ad AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS d, count(*) AS n FROM (SELECT id, unnest(aw) AS w FROM a) GROUP BY 1, 2), an AS (SELECT id, sqrt(sum(n * n)) AS z FROM ad GROUP BY 1),
+d0 AS (SELECT query_id, id, round(sum(qd.n * ad.n) / (any_value(qn.z) * any_value(an.z)), 6) AS score FROM qd JOIN ad USING (d) JOIN qn USING (query_id) JOIN an USING (id) GROUP BY 1, 2),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM d0) WHERE rank <= 20),
+h0 AS (SELECT query_id, id, round(sum(1.0 / (2 + rank - 1)), 6) AS score, count(*) AS n_lanes FROM (SELECT query_id, id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM sparse) GROUP BY 1, 2),
+mixed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h0) WHERE rank <= 5)
+"""
+
+
+def _dense(t: Tables) -> DataFrame:
+    """Turns by their hashed word vectors: what an embedding model would fill."""
+    u, a = _turns(t)
+    return R.dense_topk(u.select("query_id", vectors.hash_embedding(F.col("query")).alias("vector")), a.select("id", vectors.hash_embedding(F.col("text")).alias("vector")), 20, floor=1e-6, skip_self=False)
+
+
+def _dense_and_sparse(t: Tables) -> DataFrame:
+    lane = lambda name, df: df.select(F.lit(name).alias("lane"), "query_id", "id", "rank")
+    return lane("dense", _dense(t)).unionByName(lane("sparse", _sparse(t)))
+
+
+@query(TURNS + DENSE + "SELECT query_id, id, score, n_lanes, rank FROM mixed")
+def r8_dense_and_sparse(t: Tables) -> DataFrame:
+    return R.rrf(_dense_and_sparse(t), 2, 5)
+
+
+@query(
+    TURNS + DENSE
+    + """, lb AS (SELECT conv_id AS query_id, min(conv_id * 1000 + turn) AS id FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT query_id FROM u) GROUP BY 1),
+lanes AS (SELECT 'dense' AS lane, query_id, id, rank FROM dense UNION ALL SELECT 'sparse', query_id, id, rank FROM sparse UNION ALL SELECT 'rrf', query_id, id, rank FROM mixed),
+p AS (SELECT l.lane, lb.query_id, max(x.rank) AS place FROM lb CROSS JOIN (SELECT DISTINCT lane FROM lanes) l LEFT JOIN lanes x ON x.lane = l.lane AND x.query_id = lb.query_id AND x.id = lb.id GROUP BY 1, 2)
+SELECT lane, count(*) AS n, round(avg(CASE WHEN place <= 5 THEN 1 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / place, 0)), 6) AS mrr FROM p GROUP BY 1"""
+)
+def r9_summary(t: Tables) -> DataFrame:
+    u, a = _turns(t)
+    labels = a.withColumn("query_id", F.floor(F.col("id") / 1000)).groupBy("query_id").agg(F.min("id").alias("id")).join(u.select("query_id").distinct(), "query_id", "left_semi")
+    lanes, names = _dense_and_sparse(t), ["dense", "sparse", "rrf"]
+    fused = R.rrf(lanes, 2, 5).select(F.lit("rrf").alias("lane"), "query_id", "id", "rank")
+    return R.lane_summary(R.evaluate(lanes.unionByName(fused), labels, names, 5).fillna(0, names), names)
+
+
 @query(
     BASE
     + """, v AS (SELECT query_id // 100 * 100 AS candidate, id AS chunk_id, label AS category, score FROM raw), b AS (SELECT candidate, chunk_id, max(score) AS score FROM v GROUP BY 1, 2),
