@@ -13,14 +13,16 @@ def checked(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def with_keepers(rows: DataFrame) -> DataFrame:
+def with_keepers(rows: DataFrame, broadcast_rows: int) -> DataFrame:
     """``rows`` (``id``, ``th``, ``copies``, ``component``) with the ``keeper`` (``id``, ``th``) of the component and its ``size`` in copies.
 
     The keeper has the smallest id, null being the largest, and of several that share it the smallest text hash.
     """
     rows = cut(rows)
-    keepers = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("keeper"), F.sum("copies").alias("size"))
-    return rows.join(keepers, "component")
+    here = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    keepers = cut(rows.groupBy("component").agg(F.min(here).alias("_keeper"), F.sum("copies").alias("_size")).filter("_size > 1"))
+    out = rows.join(checked(keepers, broadcast_rows), "component", "left")
+    return out.select("component", "id", "th", "copies", F.coalesce("_keeper", here).alias("keeper"), F.coalesce("_size", F.lit(1)).alias("size"))
 
 
 def keep_keepers(docs: DataFrame, classes: DataFrame, broadcast_rows: int, doc_id: str, text: str) -> DataFrame:

@@ -228,4 +228,4 @@ def keep_one(
     marked = cut(with_fingerprint(docs, width, doc_id, text))
     found = components(links(marked.select("fp", F.col("fp").alias("id")).distinct(), distance)).withColumnRenamed("node", "fp")
     rows = marked.groupBy(F.col("doc_id").alias("id"), "th", "fp").agg(F.count("*").alias("copies")).join(found, "fp", "left")
-    return keep_keepers(docs, with_keepers(rows.select("id", "th", "copies", F.coalesce("component", "fp").alias("component"))), broadcast_rows, doc_id, text)
+    return keep_keepers(docs, with_keepers(rows.select("id", "th", "copies", F.coalesce("component", "fp").alias("component")), broadcast_rows), broadcast_rows, doc_id, text)
