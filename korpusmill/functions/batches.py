@@ -10,11 +10,14 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from korpusmill.functions.session import plain_unions
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application, as ``--py-files`` would."""
+    plain_unions(spark)
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent.parent

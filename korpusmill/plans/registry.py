@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from korpusmill.functions.session import plain_unions
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -15,6 +17,7 @@ class Tables:
     """``t.orders`` is the table of that name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        plain_unions(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
