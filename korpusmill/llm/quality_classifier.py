@@ -122,7 +122,7 @@ class QualityModel:
         return sigmoid(self.logits(x)[:, 0] / self.temperature)
 
     def score(self, docs: DataFrame, name: str = "score", text: str = "text") -> DataFrame:
-        """``docs`` with the score of each whole text in column ``name``; null texts score as empty ones."""
+        """``docs`` with the score of each whole text in column ``name``; null texts score as empty ones, rows that repeat alike; an empty table gives an empty result. A column of that name is replaced."""
         model = docs.sparkSession.sparkContext.broadcast(self)  # of fixed size
         at = docs.drop(name)
         place = at.columns.index(text)
@@ -163,7 +163,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
     """Word vectors from all of ``docs``; the network from at most ``most`` labelled rows outside the held-out fold.
 
-    Without labelled rows of both kinds, every text scores the smoothed share of label 1 (0.5 without labels).
+    Without labelled rows of both kinds, every text scores the smoothed share of label 1 (0.5 without labels); so it does for
+    an empty table. Rows that repeat count each time for the vectors and once an id for the network; null texts are empty
+    ones; very long texts are read whole, a piece at a time.
     """
     vectors = word_vectors(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -186,6 +188,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, doc_id: str = "d
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with the same columns."""
+    """The rows of ``docs`` that score ``threshold`` or more, with the same columns; rows that repeat stay or go together, and null, empty and very long texts by their score; an empty table stays empty."""
     name = fresh(docs, "score")
     return fit(docs, labels, doc_id=doc_id, text=text).score(docs, name, text).filter(F.col(name) >= threshold).drop(name)

@@ -200,3 +200,49 @@ def test_labelled_rows_are_bounded(spark):
     rows = labelled_sample(docs, labels, 6).collect()
     assert len(rows) == len({r.id for r in rows}) == 6 and all(r.label == r.id % 2 for r in rows)
     assert sorted(map(tuple, labelled_sample(docs.repartition(7), labels, 6).collect()), key=str) == sorted(map(tuple, rows), key=str)
+
+
+def test_classifier_as_brute_force(spark):
+    """Vectors and scores against loops over words, on texts of every kind."""
+    from korpusmill.llm.common import SpanHash
+
+    rng = random.Random(4)
+    some = [" ".join(rng.choice(["alpha", "beta,", "gamma", "delta!", "é漢", "x1", "--", "Zeta"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts = [*TEXTS, *some, "alpha " * 5_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int("alpha" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, quality int")
+    q = quality_classifier
+
+    def words(t):
+        found = re.findall(r"[0-9A-Za-z]+|[^\x00-\x7f]+|[!-/:-@\[-`{-\x7f]+|[\x00-\x08\x0e-\x1f]+", t or "")
+        out = []
+        for w in found:  # letters, digits and all beyond ASCII are one kind
+            joined = out and (t or "").find(out[-1] + w) >= 0 and re.match(r"[0-9A-Za-z\x80-\U0010ffff]", w) and re.search(r"[0-9A-Za-z\x80-\U0010ffff]$", out[-1])
+            out[-1:] = [out[-1] + w] if joined else [*out[-1:], w]
+        return out
+
+    def bucket(w):
+        data = np.frombuffer(w.encode(), np.uint8)
+        return int(SpanHash(data)(np.array([0]), np.array([len(data)]))[0]) & (q.BUCKETS - 1)
+
+    rows = [[bucket(w) for w in words(t)] for t in texts]
+    sums, count = np.zeros((q.BUCKETS, q.DIMENSIONS)), np.zeros(q.BUCKETS)
+    for r in rows:
+        for i, a in enumerate(r):
+            count[a] += 1
+            for j in range(max(0, i - q.REACH), min(len(r), i + q.REACH + 1)):
+                if j != i:
+                    for at, sign in zip(q._POS[r[j]], q._SIGN[r[j]], strict=True):
+                        sums[a, at] += sign
+    v = sums / np.maximum(count, 1)[:, None] - sums.sum(axis=0) / count.sum()
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    model = q.fit(docs, labels)
+    assert np.allclose(model.vectors, v, atol=1e-4)
+    out = {r.doc_id: r.score for r in model.score(docs).collect()}
+    for i, r in enumerate(rows):
+        x = np.array([v[w] for w in r]) if r else np.zeros((1, q.DIMENSIONS))
+        likeness = sum(float(v[a] @ v[b]) for a, b in zip(r, r[1:], strict=False)) / max(len(r) - 1, 1)
+        feature = np.concatenate([x.mean(axis=0), x.std(axis=0), [likeness, np.log1p(len(r))]])
+        hidden = np.maximum((feature - model.centre) / model.scale @ model.layers[0] + model.layers[1], 0)
+        want = 1 / (1 + np.exp(-float((hidden @ model.layers[2] + model.layers[3])[0]) / model.temperature))
+        assert abs(out[i] - want) < 1e-3, texts[i]
