@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from korpusmill.functions import text as T
 
-#: A line that opens a chunk: a dash, a time and a title. Bullets are indented by spaces or tabs on their own line.
+#: The grammar of the files, which must match. A line that opens a chunk is a dash, a time and a title; bullets
+#: are indented by spaces or tabs on their own line.
 HEADER = r"^- (\d{1,2}(?::\d{2}){1,2})\s+(\S.*?)\s*$"
 BULLET = r"(?m)^[ \t]{2,}- (.+?)[,.]?$"
 

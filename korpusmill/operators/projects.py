@@ -15,7 +15,8 @@ def fold_states(events: DataFrame, key: str, order: list[str], event: str, retri
     """The state of each request after its ordered events (start, done, fail, cancel).
 
     pending to processing to done; a failure goes back to pending until ``retries`` are used up, then failed; only open
-    requests can be cancelled; done, failed and cancelled absorb everything after them. Events of one request are one group.
+    requests can be cancelled; done, failed and cancelled absorb everything after them. The events of one request, a start and
+    an end for each try, are sorted as one list.
     """
     seq = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("e")))).alias("x"))
 
