@@ -47,7 +47,7 @@ def _outcome(out: DataFrame) -> DataFrame:
     return out.select("page_id", F.md5("new_text").alias("new_text"), "n_applied", "log")
 
 
-@query(f"""WITH {MD}, l AS (SELECT conv_id, string_split(body, chr(10)) AS x, CASE WHEN conv_id % 5 = 0 THEN 'nobody' ELSE 'assistant' END AS h FROM md),
+@query(rf"""WITH {MD}, l AS (SELECT conv_id, string_split(body, chr(10)) AS x, CASE WHEN conv_id % 5 = 0 THEN 'nobody' ELSE 'assistant' END AS h FROM md),
 s AS (SELECT conv_id, x, list_position(list_transform(x, lambda v: regexp_full_match(lower(v), '##\s+' || h || '\s*')), true) AS st FROM l),
 e AS (SELECT conv_id, x, st, coalesce(list_position(list_transform(x[st + 1:], lambda v: regexp_matches(v, '^#{{1,2}}\s')), true) + st, len(x) + 1) AS en FROM s),
 k AS (SELECT conv_id, x, st, coalesce(list_max(list_filter(range(st + 1, en), lambda i: trim(x[i], ' ' || chr(9) || chr(10) || chr(13)) <> '')), st) AS last FROM e)
@@ -59,7 +59,7 @@ def e2_append_section(t: Tables) -> DataFrame:
     return _outcome(patches.apply_updates(_pages(t), ups))
 
 
-@query(f"""WITH {MD}, g AS (SELECT conv_id, CASE WHEN conv_id % 3 = 1 THEN 'abc ' ELSE '' END || arg_min(substr(text, 1, 60), turn) AS gap FROM conversations WHERE turn > 0 GROUP BY 1),
+@query(rf"""WITH {MD}, g AS (SELECT conv_id, CASE WHEN conv_id % 3 = 1 THEN 'abc ' ELSE '' END || arg_min(substr(text, 1, 60), turn) AS gap FROM conversations WHERE turn > 0 GROUP BY 1),
 l AS (SELECT md.conv_id, string_split(body, chr(10)) AS x, lower(trim(gap, ' ' || chr(9) || chr(10) || chr(13))) AS gap, list_transform(list_filter(regexp_extract_all(gap, '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 4)[1:3], lambda w: lower(w)) AS ws FROM md JOIN g USING (conv_id)),
 p AS (SELECT conv_id, x, coalesce(nullif(list_position(list_transform(x, lambda v: starts_with(v, '- ') AND contains(lower(v), gap)), true), 0),
  CASE WHEN len(ws) > 0 THEN nullif(list_position(list_transform(x, lambda v: starts_with(v, '- ') AND len(list_filter(ws, lambda w: NOT contains(lower(v), w))) = 0), true), 0) END) AS i FROM l)
