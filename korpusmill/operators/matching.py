@@ -50,13 +50,15 @@ def scan_aliases(docs: DataFrame, aliases: DataFrame, stop: list[str] = [], leas
 def ledger(entries: DataFrame, terms: DataFrame, entry: str = "entry_id", surface: str = "surface_form", least: int = 4) -> DataFrame:
     """Entries whose normalised surface form contains a term (page_id, term) of ``least`` characters or more, anywhere.
 
-    Terms and surfaces are cut into character n-grams of ``least``: a term's first n-gram must be among a surface's, which
-    is an equality join; only those pairs are compared.
+    Terms and surfaces are cut into character n-grams of ``least``. A term is looked for by that of its n-grams which the
+    fewest surfaces have, so a common prefix costs nothing; only those pairs are compared.
     """
-    t = terms.select("page_id", T.match_norm(F.col("term")).alias("term")).filter(F.length("term") >= least).withColumn("gram", F.substring("term", 1, least)).distinct()
-    s = entries.select(F.col(entry), T.match_norm(F.col(surface)).alias("s")).filter(F.length("s") >= least)
-    s = s.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - least + 1), lambda i: F.substr("s", i, F.lit(least))))))
-    return s.join(t, "gram").filter(F.contains("s", F.col("term"))).select(entry, "page_id").distinct()
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substr(c, i, F.lit(least)))))
+    t = terms.select("page_id", T.match_norm(F.col("term")).alias("term")).filter(F.length("term") >= least).distinct()
+    s = entries.select(F.col(entry), T.match_norm(F.col(surface)).alias("s")).filter(F.length("s") >= least).withColumn("gram", grams(F.col("s")))
+    seen = s.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = t.withColumn("gram", grams(F.col("term"))).join(seen, "gram", "left").groupBy("page_id", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    return s.join(rare.select("page_id", "term", "g.gram"), "gram").filter(F.contains("s", F.col("term"))).select(entry, "page_id").distinct()
 
 
 def alias_map(pages: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def dense_topk(
 
         parts = -(-size.n // block)
         q = _blocks(queries, "query_id", block, "q").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
-        c = _blocks(corpus, "id", block, "c").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+        c = _blocks(corpus, "id", block, "c").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         found = map_batches(c.join(q, "part").select("q", "c"), run, out)
     return top_k(found, ["query_id"], "score", k, "id")
 

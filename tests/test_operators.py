@@ -277,3 +277,18 @@ def test_library_stands_without_llm():
 
     root = pathlib.Path(korpusmill.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "korpusmill.llm" in p.read_text()]
+
+
+def test_searches_by_joins_give_the_same(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.filter("id % 7 = 0").withColumnRenamed("id", "query_id")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(R.dense_topk(q, e, 4))
+    assert want and rows(R.dense_topk(q, e, 4, block=16, broadcast_bytes=0)) == want and len({w[0] for w in want}) * 4 == len(want)
+    assert R.dense_topk(q.limit(0), e, 4).collect() == [] and R.dense_topk(q, e.limit(0), 4).collect() == []
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text is not null").withColumn("k", F.col("conv_id") * 100 + F.col("turn"))
+    words = R.token_weights(turns, "k", "text")
+    asked = words.filter("id % 5 = 0").withColumnRenamed("id", "query_id")
+    want = rows(R.sparse_topk(asked, words, 3))
+    assert want and rows(R.sparse_topk(asked, words, 3, broadcast_rows=0)) == want
+    assert R.sparse_topk(asked.limit(0), words, 3).collect() == []
