@@ -85,7 +85,7 @@ def _fixed(edge: tuple[int, int]) -> tuple[int, int]:
 
 
 def shard(
-    docs: DataFrame, n_shards: int = 16, tolerance: float = 0.01, rows_per_task: int = 50_000, broadcast_rows: int = 1_000_000,
+    docs: DataFrame, n_shards: int = 16, tolerance: float = 0.01, rows_per_task: int = 2_000, broadcast_rows: int = 1_000_000,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """All columns of ``docs`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (gapless from 0 in each shard).
@@ -95,14 +95,14 @@ def shard(
     shard, unless their group is so large that keeping it whole would miss the tolerance; then it is cut between ids.
     The text moves at most once, in the exchange that numbers the slots.
 
-    Null texts count one byte and group together; null ids hash like any value; rows alike in both are interchangeable and
-    stay in one shard; an empty table gives an empty result; columns of ``docs`` named ``shard`` or ``slot`` are replaced.
+    Null texts count one byte and group with empty ones; rows with a null id are told apart by their text; rows alike in both
+    are interchangeable and stay in one shard; an empty table gives an empty result; columns of ``docs`` named ``shard`` or ``slot`` are replaced.
     """
     docs = docs.drop("shard", "slot")
     high, low, sub, start = (fresh(docs, x) for x in ("high", "low", "sub", "start"))
     half = lambda c: F.shiftrightunsigned(c, 4)
-    keyed: Column = half(F.xxhash64(F.col(text)))
-    other: Column = half(F.xxhash64(F.lit("id"), F.col(doc_id)))
+    keyed: Column = half(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    other: Column = half(F.xxhash64(F.lit("id"), F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text))))
     keys = cut(docs.select(keyed.alias("high"), other.alias("low"), (text_size(F.col(text)) + 1).alias("size")))
     at = [_fixed(x) for x in splitters(keys, n_shards, tolerance)]
     n = keys.count()
