@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from korpusmill.llm import decontamination, html_extraction, line_dedup, mixing, near_dup, passage_dedup, pseudonyms, quality_classifier, quality_rules, sharding
+from korpusmill.llm import decontamination, filter_audit, html_extraction, line_dedup, mixing, near_dup, passage_dedup, pseudonyms, quality_classifier, quality_rules, sharding
 from korpusmill.llm.labelled import fold
 
 
@@ -67,13 +67,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules)}
+    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules, op12_filter_audit)}
     return {**named, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3, "op6_mix_sources": OP6}
+    return {"op3_line_dedup": OP3, "op6_mix_sources": OP6, "op12_filter_audit": OP12}
 
 
 OP3 = """
@@ -117,3 +121,34 @@ WITH s AS (
 )
 SELECT doc_id, source, CAST(unnest(range(0, CAST(n AS BIGINT))) AS BIGINT) AS copy FROM n
 """
+
+OP12 = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), f AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b, 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) AS c,
+    regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM w
+), l AS (
+  SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), h AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY ALL
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), o AS (
+  SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5
+), st AS (
+  SELECT filter_order, step, instr('ABCDE', filter_order[step]) - 1 AS own, list_sum(list_transform(range(1, step), lambda k: 1 << (instr('ABCDE', filter_order[k]) - 1))) AS prior
+  FROM o, (SELECT unnest(range(1, 6)) AS step)
+), r AS (
+  SELECT part, filter_order, step, own, CAST(sum(CASE WHEN mask & (coalesce(prior, 0) | (1 << own)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN mask & coalesce(prior, 0) = 0 AND mask & (1 << own) > 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & coalesce(prior, 0) > 0 AND mask & (1 << own) > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN mask = (1 << own) THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & coalesce(prior, 0) = 0 AND mask & (1 << own) > 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN mask & coalesce(prior, 0) = 0 AND mask & (1 << own) > 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM h, st GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
