@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from korpusmill.llm import decontamination, filter_audit, html_extraction, line_dedup, mixing, near_dup, passage_dedup, pseudonyms, quality_classifier, quality_rules, sharding
+from korpusmill.llm import decontamination, filter_audit, html_extraction, line_dedup, mixing, near_dup, passage_dedup, pseudonyms, quality_classifier, quality_rules, sharding, token_alignment
 from korpusmill.llm.labelled import fold
 
 
@@ -67,12 +67,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = "/opt/tokenizers") -> DataFrame:
+    pair = token_alignment.Pair.read(f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), pair).withColumnRenamed("id", "doc_id")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules, op12_filter_audit)}
+    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules, op11_token_alignment, op12_filter_audit)}
     return {**named, "pipeline": corpus_pipeline.run}
 
 
