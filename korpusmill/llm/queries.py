@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from korpusmill.llm import decontamination, filter_audit, html_extraction, line_dedup, mixing, near_dup, passage_dedup, pseudonyms, quality_classifier, quality_rules, sharding, token_alignment
+from korpusmill.llm import decontamination, filter_audit, html_extraction, line_dedup, mixing, near_dup, passage_dedup, pseudonyms, quality_classifier, quality_rules, sharding, token_alignment, toxicity
 from korpusmill.llm.labelled import fold
 
 
@@ -76,8 +76,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs.select("doc_id", "text")).select(
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules, op11_token_alignment, op12_filter_audit)}
+    named = {f.__name__: f for f in (op1_html_extraction, op2_simhash_near_dup, op3_line_dedup, op4_quality_classifier, op5_suffix_dedup, op6_mix_sources, op7_shard, op8_pseudonyms, op9_decontaminate, op10_quality_rules, op11_token_alignment, op12_filter_audit, op13_toxicity)}
     return {**named, "pipeline": corpus_pipeline.run}
 
 
