@@ -338,11 +338,9 @@ def sketches(sample: DataFrame) -> DataFrame:
 
 def with_votes(sample: DataFrame) -> DataFrame:
     """``sample`` with its ``half`` and ``vote``. Texts that share a least hash of their shingles are near copies and share one vote, so that the words of a much copied toxic text do not pass for terms."""
-    sketch = cut(sketches(sample))
-    votes = sketch.select("id")
-    for k in range(3):
-        alike = sketch.groupBy(f"m{k}").agg(F.count("*").alias(f"n{k}"))
-        votes = votes.join(sketch.join(alike, f"m{k}").select("id", f"n{k}"), "id", "left")
+    votes = sketch = cut(sketches(sample))
+    for k in range(3):  # a sample of bounded size: its groups are sent, not shuffled, however large one of them is
+        votes = votes.join(F.broadcast(sketch.groupBy(f"m{k}").agg(F.count("*").alias(f"n{k}"))), f"m{k}", "left")
     votes = votes.select("id", (1 / F.greatest(F.lit(1), "n0", "n1", "n2")).alias("vote"))
     return cut(sample.join(F.broadcast(votes), "id").withColumn("half", half(F.col("id"))))  # votes: a row each of a bounded sample
 
