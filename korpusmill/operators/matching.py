@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions import text as T
+from korpusmill.functions.checkpoints import cut
 from korpusmill.functions.sizes import small
 from korpusmill.operators.retrieval import dense_topk
+from korpusmill.operators.vector_index import VectorIndex
 
 
 def words(text: Column) -> Column:
@@ -76,9 +78,12 @@ def resolve(candidates: DataFrame, mapping: DataFrame, guess: str = "canonical_g
     return out.withColumn("page_id", F.coalesce("_p1", "_p2")).drop("_k1", "_k2", "_p1", "_p2")
 
 
-def match_topk(left: DataFrame, right: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
-    """All pairs of vectors by cosine: the k best of each left row, if its best reaches ``least``."""
-    hits = dense_topk(left, right, k)
+def match_topk(left: DataFrame, right: DataFrame | VectorIndex, k: int = 5, least: float = 0.5, exact: bool = True) -> DataFrame:
+    """The k best right rows of each left row by cosine, if its best reaches ``least``.
+
+    An index on the right is read in the cells that can hold one of them, or in the nearest ones if not ``exact``; a plain table is scored whole.
+    """
+    hits = cut(right.search(left, k, exact=exact)) if isinstance(right, VectorIndex) else dense_topk(left, right, k)
     good = hits.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= least).select("query_id")
     return hits.join(good, "query_id", "left_semi")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from korpusmill.functions.batches import map_batches
+from korpusmill.operators.lexical_index import LexicalIndex
 
 
 def _block(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
@@ -105,73 +106,14 @@ def dense_topk(
     return top_k(found, ["query_id"], "score", k, "id")
 
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Lexical top-k: sum of products of weights over shared tokens. Both sides: id (``query_id`` / ``id``), ``token``, ``weight``.
+def sparse_topk(queries: DataFrame, corpus: DataFrame | LexicalIndex, k: int = 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Lexical top-k: sum of products of positive weights over shared tokens. Both sides: id (``query_id`` / ``id``), ``token``, ``weight``.
 
-    Queries of at most ``broadcast_rows`` tokens are posting lists that every task has: the tokens of a document add up to
-    its scores for all queries inside the task, which passes on its own k best of each query, so a common token costs no
-    rows. More queries meet the corpus by a join on the token.
+    The corpus, a token table or a stored index, is read as block-max postings (:mod:`korpusmill.operators.lexical_index`): a
+    document costs its matching postings at most, and those of blocks that can't beat a query's k best so far are left out.
     """
-    q = queries.select("query_id", "token", F.col("weight").alias("qw"))
-    if q.limit(broadcast_rows + 1).count() > broadcast_rows:
-        hits = corpus.join(q, "token").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-    else:
-        table = q.filter("query_id is not null and token is not null").toArrow().combine_chunks()
-        names, which = np.unique(table.column(0).to_numpy(), return_inverse=True) if table.num_rows else (np.zeros(0), np.zeros(0, np.int64))
-        shared = queries.sparkSession.sparkContext.broadcast((names, _postings(table.column(1).to_pylist(), which, table.column(2).to_numpy())))
-        docs = corpus.groupBy("id").agg(F.collect_list("token").alias("tokens"), F.collect_list("weight").alias("weights"))  # one document a list
-        kind = {"query_id": q.schema["query_id"].dataType, "id": corpus.schema["id"].dataType}
-
-        def run(batches):
-            names, postings = shared.value
-            yield from (pa.record_batch([pa.array(names[r]), i, pa.array(s)], ["query_id", "id", "score"]) for r, i, s in _scored(batches, postings, len(names), k))
-
-        hits = map_batches(docs, run, StructType([StructField(n, t) for n, t in kind.items()] + [StructField("score", DoubleType())]))
-    return top_k(hits.withColumn("score", F.round("score", 10)), ["query_id"], "score", k, "id")
-
-
-def _postings(tokens: list, which: np.ndarray, weight: np.ndarray) -> dict:
-    """For each token the numbers of the queries that have it, and its weights there."""
-    by: dict = {}
-    for i, t in enumerate(tokens):
-        by.setdefault(t, []).append(i)
-    return {t: (which[i], weight[i]) for t, i in by.items()}
-
-
-def _scored(batches, postings: dict, n: int, k: int, cells: int = 1 << 21):
-    """Query numbers, ids and scores of the k best documents of each query among all of ``batches``, ties included."""
-    best = (np.zeros(0, np.int64), None, np.zeros(0))
-    rows, ids = [], []
-
-    def fold():
-        nonlocal best, rows, ids
-        if not rows:
-            return
-        s, more = np.stack(rows), pa.concat_arrays(ids)
-        at = np.nonzero(s)
-        q, x, i = np.concatenate([best[0], at[1]]), np.concatenate([best[2], s[at]]), more.take(pa.array(at[0]))
-        i = i if best[1] is None else pa.concat_arrays([best[1], i])
-        order = np.lexsort((-x, q))
-        first = np.searchsorted(q[order], np.arange(n))
-        last = x[order][np.minimum(first + k - 1, len(order) - 1)] if len(order) else np.zeros(n)
-        full = np.bincount(q, minlength=n) > k
-        keep = ~full[q] | (x >= last[q] - 1e-9)  # scores that are rounded alike later stay together
-        best, rows, ids = (q[keep], i.filter(pa.array(keep)), x[keep]), [], []
-
-    for b in batches if n else ():
-        for j, (tokens, weights) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            s = np.zeros(n)
-            for t, w in zip(tokens, weights, strict=True):
-                if t in postings:
-                    which, qw = postings[t]
-                    s[which] += qw * w
-            rows.append(s)
-            ids.append(b.column(0).slice(j, 1))
-            if len(rows) * n >= cells:
-                fold()
-    fold()
-    if best[1] is not None:
-        yield best
+    index = corpus if isinstance(corpus, LexicalIndex) else LexicalIndex.of(corpus)
+    return top_k(index.search(queries, k, broadcast_rows).withColumn("score", F.round("score", 10)), ["query_id"], "score", k, "id")
 
 
 def token_weights(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from korpusmill.functions.checkpoints import shared_folder as scratch  # noqa: F401
 from korpusmill.functions.session import plain_unions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,15 +24,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: that of ``spark.checkpoint.dir``; a temporary one for a local master only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if folder is None and master != "local" and not master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-scratch-")
-
-
 def query(sql: str | None = None):
     """Register a function of :class:`Tables` under its own name."""
 

@@ -6,13 +6,15 @@ of a tenth. Thresholds suit the scores of these tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions import vectors
 from korpusmill.operators import filters, ranking
 from korpusmill.operators import retrieval as R
-from korpusmill.plans.registry import Tables, query
+from korpusmill.plans.registry import Tables, query, scratch
 
 EXACT, DOC, DOMINANT, THIN = 0.25, 0.28, 0.33, 0.27
 
@@ -56,6 +58,31 @@ def r1_dense_search(t: Tables) -> DataFrame:
     return R.dense_topk(asked(t), vec(t), 5)
 
 
+def _index(t: Tables, rows: DataFrame):
+    """An index of this run's own, in the folder that driver and executors share."""
+    from korpusmill.operators.vector_index import VectorIndex
+
+    return VectorIndex.build(rows.select("id", "vector"), f"{scratch(t.spark)}/vectors-{uuid.uuid4().hex[:12]}", target=0.97)
+
+
+@query()
+def r1_indexed_search(t: Tables) -> DataFrame:
+    """The nearest cells of each query only; tests hold its recall against the exact result."""
+    return _index(t, vec(t)).search(asked(t), 5)
+
+
+@query(BASE + "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5")
+def r1_indexed_exact(t: Tables) -> DataFrame:
+    return _index(t, vec(t)).search(asked(t), 5, exact=True)
+
+
+@query(BASE + ", m AS (SELECT query_id FROM raw GROUP BY 1 HAVING max(score) >= 0.3) SELECT query_id, id, score, rank FROM raw WHERE query_id IN (SELECT query_id FROM m)")
+def j10_indexed_match(t: Tables) -> DataFrame:
+    from korpusmill.operators.matching import match_topk
+
+    return match_topk(asked(t), _index(t, vec(t).filter("label > 0")), 5, 0.3)
+
+
 @query(BASE + "SELECT query_id, id, score, rank FROM sem")
 def r2_page_search(t: Tables) -> DataFrame:
     return R.dense_topk(asked(t), vec(t).filter("label = 0"), 2)
