@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from korpusmill.functions import text as T
+from korpusmill.functions.batches import map_batches
 from korpusmill.functions.checkpoints import cut
-from korpusmill.functions.sizes import small
+from korpusmill.operators.automaton import PhraseTrie, by_bytes
 from korpusmill.operators.retrieval import dense_topk
 from korpusmill.operators.vector_index import VectorIndex
 
@@ -27,24 +31,47 @@ def fold_words(c: Column) -> Column:
     return F.regexp_replace(T.fold(F.lower(c)), r"[^\p{L}\p{N}]+", " ")
 
 
-def scan_aliases(docs: DataFrame, aliases: DataFrame, stop: list[str] = [], least: int = 4, anchor: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B006
+def scan_aliases(docs: DataFrame, aliases: DataFrame, stop: list[str] = [], least: int = 4, anchor: int = 3, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:  # noqa: B006
     """(page_id, doc_id) for each alias that stands in a document as whole words, case and accents aside.
 
-    Documents become hashed runs of words, as long as aliases are but ``anchor`` words at the most, and join the aliases by
-    equality, so the work grows with both sides, not with their product. An alias of more words is looked for by its first
-    ``anchor`` and then compared whole. Words and runs are told apart by 64 bits.
-    Aliases shorter than ``least`` count only if canonical; stop words never do.
+    Aliases of at most ``broadcast_bytes`` together become one trie that every task has, and each text is read once, whatever
+    the lengths of aliases; nothing but hits leaves the task. More of them are met by a join: documents become hashed runs of
+    words, of ``anchor`` words at the most, and a longer alias is looked for by its first ``anchor`` and then compared whole.
+    Aliases shorter than ``least`` count only if canonical; stop words never do. Aliases that are equal but for case and
+    accents each give their pages; null aliases and texts give none; rows of ``docs`` that repeat give one row.
     """
     key = F.array_join(words(F.col("alias")), " ")
     table = aliases.select("page_id", key.alias("key"), F.coalesce("canonical", F.lit(False)).alias("canonical"))
-    table = table.filter(((F.length("key") >= least) | F.col("canonical")) & ~F.col("key").isin(*stop) & (F.col("key") != ""))
-    table = table.select("page_id", "key", F.transform(F.split("key", " "), lambda w: F.xxhash64(w)).alias("h")).distinct()
+    table = table.filter(((F.length("key") >= least) | F.col("canonical")) & ~F.col("key").isin(*stop) & (F.col("key") != "")).select("page_id", "key").distinct()
+    size = table.agg(F.sum(F.octet_length("key") + 64).alias("bytes")).first().bytes or 0  # with what the trie holds beside
+    if size > broadcast_bytes:
+        return _scan_by_join(docs, table, anchor, doc_id, text)
+    listed = table.orderBy("key", "page_id").toArrow().combine_chunks()
+    coded = listed.column("key").combine_chunks().dictionary_encode()
+    cuts = np.searchsorted(coded.indices.to_numpy(), np.arange(len(coded.dictionary) + 1))
+    pages = listed.column("page_id").combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast((PhraseTrie.of(coded.dictionary.to_pylist()), cuts, pages))
+    folded = docs.select(F.col(doc_id), fold_words(F.col(text)).alias("folded"))
+
+    def run(batches):
+        trie, cuts, pages = shared.value
+        for b in by_bytes(batches, 1):
+            row, phrase = np.divmod(np.unique(np.array(trie.find(b.column(1))).T @ np.array([max(len(cuts), 1), 1])), max(len(cuts), 1))
+            size = cuts[phrase + 1] - cuts[phrase]
+            ends = np.cumsum(size)
+            which = np.arange(ends[-1] if len(ends) else 0) + np.repeat(cuts[phrase] - ends + size, size)
+            yield pa.record_batch([pages.take(pa.array(which)), b.column(0).take(pa.array(np.repeat(row, size)))], ["page_id", doc_id])
+
+    return map_batches(folded, run, StructType([table.schema["page_id"], folded.schema[doc_id]])).distinct()
+
+
+def _scan_by_join(docs: DataFrame, table: DataFrame, anchor: int, doc_id: str, text: str) -> DataFrame:
+    """The same by an equality join on hashes of 64 bits, for any number of aliases (``page_id``, ``key``)."""
+    table = table.select("page_id", "key", F.transform(F.split("key", " "), lambda w: F.xxhash64(w)).alias("h"))
     lengths = sorted(r.n for r in table.select(F.least(F.size("h"), F.lit(anchor)).alias("n")).distinct().collect())  # anchor numbers at most
-    if not lengths:
-        return table.join(docs.select(F.col(doc_id)), F.lit(False)).select("page_id", doc_id)
     gram = F.coalesce(*[F.when(F.least(F.size("h"), F.lit(anchor)) == n, F.xxhash64(*[F.get("h", F.lit(j)) for j in range(n)])) for n in lengths])
     table = table.select("page_id", gram.alias("gram"), F.when(F.size("h") > anchor, F.concat(F.lit(" "), "key", F.lit(" "))).alias("rest"))
-    hits = ngrams(docs, doc_id, text, lengths).join(small(table, 500_000), "gram").select("page_id", doc_id, "rest").distinct()
+    hits = ngrams(docs, doc_id, text, lengths).join(table, "gram").select("page_id", doc_id, "rest").distinct()
     long = hits.filter("rest is not null").join(docs.select(doc_id, F.concat(F.lit(" "), F.array_join(words(F.col(text)), " "), F.lit(" ")).alias("folded")), doc_id)
     return hits.filter("rest is null").select("page_id", doc_id).unionByName(long.filter(F.contains("folded", F.col("rest"))).select("page_id", doc_id)).distinct()
 
