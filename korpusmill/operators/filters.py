@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from korpusmill.functions import text as T
 from korpusmill.functions.sizes import small
+from korpusmill.operators.topic_rules import domain_gate, topic_filter  # noqa: F401
 
 
 def equals(df: DataFrame, filters: dict) -> DataFrame:
@@ -50,25 +51,6 @@ def tag_policy(chunks: DataFrame, flags: DataFrame, keys: list[str], order: list
     return chunks.join(latest, keys, "left")
 
 
-def topic_filter(blocks: DataFrame, rules: DataFrame, text: str, key: str, most_rules: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Blocks that no rule matches, and a log of (block, pattern, reason) for those that one does.
-
-    rules: pattern, reason; a policy list of at most ``most_rules`` rows, as every block is tried against each of them. Nothing
-    is dropped without a line in the log.
-    """
-    if rules.limit(most_rules + 1).count() > most_rules:
-        raise ValueError(f"more than {most_rules} topic rules")
-    hit = F.rlike(F.col(text), F.concat(F.lit("(?iU)"), F.col("pattern")))
-    log = blocks.join(F.broadcast(rules.select("pattern", "reason")), hit).select(key, "pattern", "reason")
-    return blocks.join(log.select(key).distinct(), key, "left_anti"), log
-
-
-def domain_gate(df: DataFrame, column: str, patterns: list[str]) -> DataFrame:
-    """``quarantine``: true where no glob of ``patterns`` fits the dotted domain."""
-    alike = [F.rlike(F.col(column), F.lit("^" + p.replace(".", r"\.").replace("*", ".*") + "$")) for p in patterns]
-    return df.withColumn("quarantine", ~F.coalesce(reduce(Column.__or__, alike), F.lit(False)))
-
-
 def recoverable(df: DataFrame, reasons: list[str], reason: str = "reason_code", surface: str = "surface_form", chars: int = 120, words: int = 15) -> DataFrame:
     """Discarded entries for one of ``reasons`` with a short surface form."""
     n = F.size(F.split(F.trim(F.col(surface)), r"\s+"))

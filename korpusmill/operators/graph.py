@@ -16,21 +16,47 @@ from korpusmill.functions import text as T
 WEIGHTS = ("canonical", "strong", "tangential")
 
 
-def wikilinks(pages: DataFrame, text: str = "body", pattern: str = r"\[\[([^\]|#]+)") -> DataFrame:
-    """Distinct (page_id, target_page_id) of the links in a text."""
+#: Fixed values, the grammar of page texts: a link to a page by its id, with a label or without; a link into a document, with a second or without.
+WIKILINK = r"\[\[([a-z0-9][a-z0-9_-]*)(?:\|[^\]]+)?\]\]"
+CITATION = r"\[([^\]]+)\]\(https?://(?:www\.)?youtu\.be/([a-zA-Z0-9_-]+)(?:\?t=(\d+))?\)"
+DOCUMENT_URL = "https://youtu.be/"
+
+
+def wikilinks(pages: DataFrame, text: str = "body", pattern: str = WIKILINK) -> DataFrame:
+    """Distinct (page_id, target_page_id) of the links in a text. Only page ids are targets: ``[[See Also]]`` is prose."""
     found = F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)))
     return pages.select("page_id", found.alias("target_page_id")).distinct()
 
 
+def mentions(pages: DataFrame, text: str = "body", pattern: str = CITATION) -> DataFrame:
+    """(page_id, doc_id, ts, title, pos) of each citation in a text, in order; one without a second is of second 0."""
+    part = lambda k: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(k))
+    rows = pages.select("page_id", F.posexplode(F.arrays_zip(part(1).alias("title"), part(2).alias("doc_id"), part(3).alias("at"))).alias("pos", "m"))
+    ts = F.coalesce(F.col("m.at").try_cast("int"), F.lit(0))
+    return rows.select("page_id", F.col("m.doc_id").alias("doc_id"), ts.alias("ts"), F.trim("m.title").alias("title"), "pos")
+
+
+def citations(pages: DataFrame, text: str = "body", pattern: str = CITATION) -> DataFrame:
+    """The citation table of page texts: one row for each (page, document, second) with its first title, its link and how often it is cited."""
+    url = F.concat(F.lit(DOCUMENT_URL), F.col("doc_id"), F.when(F.col("ts") > 0, F.concat(F.lit("?t="), F.col("ts"))).otherwise(""))
+    return first_citations(mentions(pages, text, pattern)).withColumn("url", url)
+
+
+def relation_edges(pages: DataFrame) -> DataFrame:
+    """The relation table of scanned pages: (from_page_id, type, to_page_id, weight, note)."""
+    return pages.select(F.col("page_id").alias("from_page_id"), F.explode("relations").alias("r")).select("from_page_id", "r.type", F.col("r.to").alias("to_page_id"), "r.weight", "r.note")
+
+
 def first_citations(mentions: DataFrame) -> DataFrame:
     """Per (page_id, doc_id, ts) the title that comes first by ``pos``, and how often it is cited."""
     return mentions.groupBy("page_id", "doc_id", "ts").agg(F.min_by("title", "pos").alias("title"), F.count("*").alias("n"))
 
 
 def backlinks(relations: DataFrame, links: DataFrame) -> DataFrame:
-    """(page, source, kind, type) of all edges that lead to a page."""
-    a = relations.select(F.col("to_page_id").alias("page_id"), F.col("from_page_id").alias("source"), F.lit("relation").alias("kind"), "type")
-    b = links.select(F.col("target_page_id").alias("page_id"), F.col("page_id").alias("source"), F.lit("wikilink").alias("kind"), F.lit(None).cast("string").alias("type"))
+    """(page, source, kind, type) of all edges that lead to a page; with their weight and note if the relations have them."""
+    more = [c for c in ("weight", "note") if c in relations.columns]
+    a = relations.select(F.col("to_page_id").alias("page_id"), F.col("from_page_id").alias("source"), F.lit("relation").alias("kind"), "type", *more)
+    b = links.select(F.col("target_page_id").alias("page_id"), F.col("page_id").alias("source"), F.lit("wikilink").alias("kind"), F.lit(None).cast("string").alias("type"), *(F.lit(None).cast("string").alias(c) for c in more))
     return a.unionByName(b)
 
 

@@ -11,6 +11,7 @@ from korpusmill.functions import text as T
 from korpusmill.operators import filters
 from korpusmill.operators import graph as G
 from korpusmill.plans.registry import Tables, query
+from korpusmill.sources import tables
 
 KINDS = [("supplies", "supplied_by", ["supplier"], ["part"]), ("located_in", "location_of", ["supplier"], ["region"]), ("part_of", "has_part", ["any"], ["region"])]
 
@@ -68,7 +69,7 @@ types AS (SELECT * FROM (VALUES ('supplies', 'supplied_by', ['supplier'], ['part
 @query(CTE + "SELECT to_page_id AS page_id, from_page_id AS source, 'relation' AS kind, type FROM relations UNION ALL SELECT target_page_id, page_id, 'wikilink', NULL FROM links")
 def a10_backlinks(t: Tables) -> DataFrame:
     g = Graph(t)
-    return G.backlinks(g.relations, g.links)
+    return G.backlinks(g.relations, g.links).select("page_id", "source", "kind", "type")
 
 
 @query(CTE + "SELECT to_page_id, count(*) AS n_incoming, count(DISTINCT from_page_id) AS n_sources, min(from_page_id) AS first_source, max(from_page_id) AS last_source FROM relations WHERE to_page_id NOT IN (SELECT page_id FROM pages) GROUP BY 1")
@@ -235,3 +236,45 @@ def u6_merged_dictionary(t: Tables) -> DataFrame:
     g = Graph(t)
     more = g.relations.select("type").distinct().withColumn("inverse", F.lit(None).cast("string"))
     return G.merge_types(g.types.select("type", "inverse"), more)[0]
+
+
+def _written(t: Tables) -> DataFrame:
+    """Each conversation as a page of Markdown with frontmatter: whole turns as notes of its relations, links and citations in its body."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r'(["\\\\])', r"\\$1"), r"\s", " "), F.lit('"'))
+    turn = F.col("turn").cast("string")
+    relation = F.concat(F.lit("  - {type: said_by, to: "), "role", F.lit(", weight: strong, note: "), quoted(F.coalesce("text", F.lit(""))), F.lit("}\n"))
+    line = F.concat(
+        F.lit("\u2192 [ "), "role", F.lit(" "), turn, F.lit(" ](https://youtu.be/d"), F.col("conv_id") % 7, F.lit("?t="), turn * 10, F.lit(") [intro "), turn, F.lit("](http://www.youtu.be/e"), F.col("turn") % 3,
+        F.lit(") and [["), "role", F.lit("-"), turn, F.lit("|Turn]] [["), "role", F.lit("]] [[See Also]] [[Upper|x]] [x](https://example.org/1)\n"),
+    )
+    lines = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", relation.alias("relation"), line.alias("line")))).alias("x"))
+    joined = lambda part: F.array_join(F.transform("x", lambda r: r[part]), "")
+    aliases = F.concat(F.lit('aliases: ["Talk, no. '), "conv_id", F.lit("\", 'it''s', plain ]\n"))
+    front = F.concat(F.lit("---\npage_id: c"), "conv_id", F.lit("\npage_type: talk\ncanonical_name: Talk\n"), aliases, F.lit("relations:\n"), joined("relation"), F.lit("---\n"))
+    return tables.parse_pages(lines.select(F.concat(front, joined("line")).alias("v"), F.concat(F.lit("c"), "conv_id").alias("file_path")))
+
+
+@query("""WITH m AS (SELECT 'c' || conv_id AS page_id, 'd' || (conv_id % 7) AS doc_id, CAST(turn * 10 AS INT) AS ts, role || ' ' || turn AS title, 2 * turn AS pos FROM conversations
+UNION ALL SELECT 'c' || conv_id, 'e' || (turn % 3), 0, 'intro ' || turn, 2 * turn + 1 FROM conversations)
+SELECT page_id, doc_id, ts, arg_min(title, pos) AS title, count(*) AS n, 'https://youtu.be/' || doc_id || CASE WHEN ts > 0 THEN '?t=' || ts ELSE '' END AS url FROM m GROUP BY page_id, doc_id, ts""")
+def a9_page_citations(t: Tables) -> DataFrame:
+    """The citation table out of page texts."""
+    return G.citations(_written(t))
+
+
+@query("SELECT DISTINCT 'c' || conv_id AS page_id, unnest([role, role || '-' || turn]) AS target_page_id FROM conversations")
+def f11_page_links(t: Tables) -> DataFrame:
+    return G.wikilinks(_written(t))
+
+
+@query(r"""SELECT role AS page_id, 'c' || conv_id AS source, 'relation' AS kind, 'said_by' AS type, 'strong' AS weight, nullif(trim(regexp_replace(coalesce(text, ''), '\s', ' ', 'g')), '') AS note FROM conversations
+UNION ALL SELECT DISTINCT unnest([role, role || '-' || turn]), 'c' || conv_id, 'wikilink', NULL, NULL, NULL FROM conversations""")
+def a10_page_backlinks(t: Tables) -> DataFrame:
+    """Backlinks out of page texts; each relation has a whole turn as its note."""
+    pages = _written(t)
+    return G.backlinks(G.relation_edges(pages), G.wikilinks(pages)).withColumn("note", F.nullif(F.trim("note"), F.lit("")))
+
+
+@query("SELECT DISTINCT 'c' || conv_id AS page_id, unnest(['Talk, no. ' || conv_id, 'it''s', 'plain']) AS alias FROM conversations")
+def s4_page_aliases(t: Tables) -> DataFrame:
+    return _written(t).select("page_id", F.explode("aliases").alias("alias"))

@@ -35,26 +35,41 @@ def frontmatter(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
 
 
+#: A quoted value of YAML, in either kind of quotes.
+QUOTED = r"""\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|'[^']*+(?:''[^']*+)*+'"""
+
+
+def unquoted(value: Column) -> Column:
+    """A YAML value without its quotes and their escapes; blank, "null" and "~" without quotes are null."""
+    v = F.trim(value)
+    inner = F.substring(v, F.lit(2), F.length(v) - 2)
+    double = F.regexp_replace(inner, r'\\(["\\/])', "$1")
+    bare = F.when(~F.lower(v).isin("", "null", "~"), v)
+    return F.when(F.rlike(v, F.lit(r'(?s)^".*"$')) & (F.length(v) > 1), double).when(F.rlike(v, F.lit(r"(?s)^'.*'$")) & (F.length(v) > 1), F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(bare)
+
+
 def yaml_scalar(front: Column, key: str) -> Column:
     """A scalar of the frontmatter without quotes; blank and "null" are null."""
-    raw = F.trim(F.regexp_extract(front, rf"(?m)^{key}:[ \t]*(.*)$", 1))
-    bare = F.regexp_replace(raw, "^[\"']|[\"']$", "")
-    return F.when(~F.lower(bare).isin("", "null", "~"), bare)
+    value = unquoted(F.regexp_extract(front, rf"(?m)^{key}:[ \t]*(.*)$", 1))
+    return F.when(~F.lower(value).isin("", "null", "~"), value)
 
 
 def yaml_list(front: Column, key: str) -> Column:
-    """A list of the frontmatter, written ``[a, b]`` or as dashes."""
+    """A list of the frontmatter, written ``[a, b]`` or as dashes; commas inside quotes part nothing."""
     flow = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\[(.*)\][ \t]*$", 1)
     block = F.regexp_extract(front, rf"(?m)^{key}:[ \t]*\n((?:[ \t]+-.*\n?)+)", 1)
-    items = F.when(flow != "", F.split(flow, ",")).otherwise(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+-[ \t]*(.+)$"), F.lit(1)))
-    clean = lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")
-    return F.filter(F.transform(items, clean), lambda x: x != "")
+    items = F.when(flow != "", F.regexp_extract_all(flow, F.lit(rf"\s*({QUOTED}|[^,]+)"), F.lit(1))).otherwise(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+-[ \t]*(.+)$"), F.lit(1)))
+    return F.filter(F.transform(items, unquoted), lambda x: x.isNotNull() & (x != ""))
 
 
 def scan_pages(spark: SparkSession, root: str) -> DataFrame:
     """Markdown pages below ``root`` but README files; pages without id, type or name are left out."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
-    raw = raw.select(F.col("value").alias("v"), F.col("_metadata.file_path").alias("file_path")).filter(~F.rlike("file_path", F.lit("(?i)/readme\\.md$")))
+    return parse_pages(raw.select(F.col("value").alias("v"), F.col("_metadata.file_path").alias("file_path")).filter(~F.rlike("file_path", F.lit("(?i)/readme\\.md$"))))
+
+
+def parse_pages(raw: DataFrame) -> DataFrame:
+    """The pages of whole Markdown texts (``v``, ``file_path``) with frontmatter."""
     f = frontmatter(F.col("v"))
     return raw.select(
         yaml_scalar(f, "page_id").alias("page_id"), yaml_scalar(f, "page_type").alias("page_type"), yaml_scalar(f, "canonical_name").alias("canonical_name"), yaml_scalar(f, "domain_primary").alias("domain_primary"),
@@ -64,11 +79,17 @@ def scan_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def relations(front: Column) -> Column:
-    """Relations of the frontmatter that have both a type and a target."""
+    """Relations of the frontmatter that have both a type and a target, with weight and note; written as ``{type: a, to: b}`` or a line a field.
+
+    Fields are read one after another, so that what stands inside a quoted value is taken neither for a field nor for an end.
+    """
     block = F.regexp_extract(front, r"(?m)^relations:[ \t]*\n((?:[ \t]+.*\n?)+)", 1)
     items = F.filter(F.split(block, r"(?m)^[ \t]*- "), lambda x: F.trim(x) != "")
-    field = lambda x, k: F.nullif(F.trim(F.regexp_extract(x, rf"(?m)(?:^|[{{,\s]){k}:[ \t]*[\"']?([^,}}\n\"']+)", 1)), F.lit(""))
-    return F.filter(F.transform(items, lambda x: F.struct(field(x, "type").alias("type"), field(x, "to").alias("to"), field(x, "weight").alias("weight"))), lambda r: r["type"].isNotNull() & r["to"].isNotNull())
+    parts = lambda x, rest, k: F.regexp_extract_all(x, F.lit(rf"(\w+)[ \t]*:[ \t]*({QUOTED}|{rest})"), F.lit(k))
+    fields = lambda x, k: F.when(F.startswith(F.ltrim(x), F.lit("{")), parts(x, r"[^,}\n]*", k)).otherwise(parts(x, r"[^\n]*", k))
+    field = lambda x, name: unquoted(F.get(F.filter(F.arrays_zip(fields(x, 1).alias("k"), fields(x, 2).alias("v")), lambda f: f["k"] == name), F.lit(0))["v"])
+    made = lambda x: F.struct(*(F.nullif(field(x, name), F.lit("")).alias(name) for name in ("type", "to", "weight", "note")))
+    return F.filter(F.transform(items, made), lambda r: r["type"].isNotNull() & r["to"].isNotNull())
 
 
 def scan_extractions(spark: SparkSession, root: str) -> DataFrame:
@@ -193,9 +214,9 @@ def load_topic_filters(json_text: DataFrame, column: str = "value", field: str =
     return rules.select("r.*").filter("pattern is not null and pattern <> ''")
 
 
-def load_globs(json_text: DataFrame, column: str = "value", field: str = "include_domains") -> list[str]:
-    """The domain globs of the same file, for :func:`korpusmill.operators.filters.domain_gate`; a few lines of policy."""
-    return [r.g for r in json_text.select(F.explode(F.from_json(F.get_json_object(F.col(column), f"$.{field}"), "array<string>")).alias("g")).limit(10_000).collect()]
+def load_globs(json_text: DataFrame, column: str = "value", field: str = "include_domains") -> DataFrame:
+    """The domain globs of the same file, all of them, as a table (``glob``) for :func:`korpusmill.operators.filters.domain_gate`."""
+    return json_text.select(F.explode(F.from_json(F.get_json_object(F.col(column), f"$.{field}"), "array<string>")).alias("glob"))
 
 
 def backfill(df: DataFrame, column: str, value: str) -> DataFrame:

@@ -176,7 +176,7 @@ def test_sources(spark, tmp_path):
     (w / "bad.md").write_text("no frontmatter")
     p = tables.scan_pages(spark, str(tmp_path / "wiki")).collect()
     assert len(p) == 1 and p[0].aliases == ["a1", "a2"] and p[0].domain == ["x.y", "z"] and p[0].sources_count is None and p[0].canonical_name == "P One"
-    assert [tuple(x) for x in p[0].relations] == [("see_also", "q", "strong")]
+    assert [tuple(x) for x in p[0].relations] == [("see_also", "q", "strong", None)]
     assert {x.target_page_id for x in graph.wikilinks(tables.scan_pages(spark, str(tmp_path / "wiki"))).collect()} == {"q", "r"}
     run = tmp_path / "runs/r1"
     run.mkdir(parents=True)
@@ -261,7 +261,9 @@ def test_policy_files(spark):
     text = json.dumps({"include_domains": ["a.*"], "exclude_patterns": [{"pattern": "a.b", "scope": "title", "reason": "r"}, {"scope": "no pattern"}, {"pattern": "c"}]})
     got = tables.load_topic_filters(spark.createDataFrame([(text,)], "value string"))
     assert sorted(map(tuple, got.collect()), key=str) == [("a.b", "r", "title"), ("c", None, None)]
-    assert tables.load_globs(spark.createDataFrame([(text,)], "value string")) == ["a.*"]
+    assert [r.glob for r in tables.load_globs(spark.createDataFrame([(text,)], "value string")).collect()] == ["a.*"]
+    many = json.dumps({"include_domains": [f"d{i}.*" for i in range(10_050)]})
+    assert tables.load_globs(spark.createDataFrame([(many,)], "value string")).distinct().count() == 10_050
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
@@ -292,3 +294,20 @@ def test_searches_by_joins_give_the_same(spark, sf_dir):
     want = rows(R.sparse_topk(asked, words, 3))
     assert want and rows(R.sparse_topk(asked, words, 3, broadcast_rows=0)) == want
     assert R.sparse_topk(asked.limit(0), words, 3).collect() == []
+
+
+def test_page_grammar(spark, tmp_path):
+    (tmp_path / "p.md").write_text(
+        "---\npage_id: p\npage_type: 't''s'\ncanonical_name: \"A \\\"B\\\", C\"\naliases: [\"Smith, John\", 'O''Hara, S', plain, \"a [b]\", null]\nrelations:\n"
+        "  - {type: cites, to: q, weight: strong, note: \"see to: x, or {y}\"}\n  - type: part_of\n    to: 'r'\n    note: a, b\n  - {type: lost, note: to}\n  - {to: s, type: t, note: 'it''s'}\n---\n"
+        "[ T one ](https://youtu.be/ab_-1?t=12) [T two](https://youtu.be/ab_-1?t=12) [x](http://www.youtu.be/cd) [y](https://youtu.be/cd?t=0) [z](https://example.org/ab)\n[[ok-1]] [[ok_2|Any label]] [[See Also]] [[Upper]] [[a#b]] [[|x]]\n"
+    )
+    page = tables.scan_pages(spark, str(tmp_path))
+    row = page.first()
+    assert row.aliases == ["Smith, John", "O'Hara, S", "plain", "a [b]"] and row.canonical_name == 'A "B", C' and row.page_type == "t's"
+    edges = graph.relation_edges(page)
+    assert {(r.type, r.to_page_id, r.weight, r.note) for r in edges.collect()} == {("cites", "q", "strong", "see to: x, or {y}"), ("part_of", "r", None, "a, b"), ("t", "s", None, "it's")}
+    assert {r.target_page_id for r in graph.wikilinks(page).collect()} == {"ok-1", "ok_2"}
+    got = {(r.doc_id, r.ts): (r.title, r.n, r.url) for r in graph.citations(page).collect()}
+    assert got == {("ab_-1", 12): ("T one", 2, "https://youtu.be/ab_-1?t=12"), ("cd", 0): ("x", 2, "https://youtu.be/cd")}
+    assert {r.note for r in graph.backlinks(edges, graph.wikilinks(page)).filter("page_id = 'q'").collect()} == {"see to: x, or {y}"}
