@@ -179,14 +179,35 @@ def t5_apply_once(t: Tables) -> DataFrame:
     return I.apply_once(e, t.events.filter("value > 300").select("user_id"), "user_id").select("event_id", "user_id")
 
 
-@query("""WITH RECURSIVE x AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'fail' WHEN 'signup' THEN CASE WHEN value > 45 THEN 'cancel' ELSE 'other' END ELSE 'other' END AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+STATES = """WITH RECURSIVE x AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'fail' WHEN 'signup' THEN CASE WHEN value > 45 THEN 'cancel' ELSE 'other' END ELSE 'other' END AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f(user_id, k, state, n) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'pending', 0 FROM x UNION ALL
  SELECT x.user_id, x.k, CASE WHEN state IN ('done', 'failed', 'cancelled') THEN state WHEN e = 'cancel' THEN 'cancelled' WHEN e = 'start' AND state = 'pending' THEN 'processing' WHEN e = 'done' AND state = 'processing' THEN 'done' WHEN e = 'fail' AND state = 'processing' THEN CASE WHEN n + 1 > 3 THEN 'failed' ELSE 'pending' END ELSE state END,
  CASE WHEN state = 'processing' AND e = 'fail' THEN n + 1 ELSE n END FROM f JOIN x ON x.user_id = f.user_id AND x.k = f.k + 1)
-SELECT user_id, state, n AS retries FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
-def t6_queue_states(t: Tables) -> DataFrame:
+SELECT user_id, state, n AS retries FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1"""
+
+
+def _requests(events: DataFrame) -> DataFrame:
     e = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").when((F.col("event_type") == "signup") & (F.col("value") > 45), "cancel").otherwise("other")
-    return projects.fold_states(t.events.withColumn("e", e), "user_id", ["ts", "event_id"], "e").select("user_id", "state", "retries")
+    return events.withColumn("e", e)
+
+
+@query(STATES)
+def t6_queue_states(t: Tables) -> DataFrame:
+    return projects.fold_states(_requests(t.events), "user_id", ["ts", "event_id"], "e").select("user_id", "state", "retries")
+
+
+@query(STATES)
+def t6_streamed_states(t: Tables) -> DataFrame:
+    """The same states from a stateful stream, its state in the shared folder."""
+    import uuid
+
+    from korpusmill.streaming import queue
+
+    root = f"{scratch(t.spark)}/queue-{uuid.uuid4().hex[:12]}"
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/event[s].parquet")
+    states = queue.queue_states(_requests(stream), "user_id", "ts", "event_id", "e")
+    queue.start_queue(states, f"{root}/table", f"{root}/state").awaitTermination()
+    return queue.read_queue(t.spark, f"{root}/table", "user_id").select("user_id", "state", "retries")
 
 
 @query("""WITH q AS (SELECT o_custkey AS project_id, o_orderpriority AS url FROM orders WHERE o_orderstatus = 'P') SELECT o_custkey AS project_id, o_orderpriority AS url, min(o_orderkey) AS created_at FROM orders WHERE o_orderstatus <> 'P' AND (o_custkey, o_orderpriority) NOT IN (SELECT (project_id, url) FROM q) GROUP BY 1, 2""")
