@@ -21,6 +21,7 @@ INLINE = frozenset(
     "math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+CONTROLS = frozenset("button input select textarea".split())
 SCOPE = frozenset("article section div main body td th li blockquote aside".split())
 
 #: Words of class, id and role that tell parts of a page apart.
@@ -52,12 +53,12 @@ def telling(attributes: str) -> tuple[int, int, int, bool]:
 
 
 class Node:
-    __slots__ = ("bad", "blocks", "chars", "children", "depth", "end", "good", "hashed", "hidden", "links", "n_tags", "order", "own", "parent", "space", "stops", "tag", "text")
+    __slots__ = ("bad", "blocks", "chars", "children", "depth", "direct", "end", "good", "hashed", "hidden", "links", "n_tags", "order", "own", "parent", "space", "stops", "tag", "text")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent else 0
-        self.chars = self.links = self.n_tags = self.blocks = self.stops = self.own = 0
+        self.chars = self.links = self.n_tags = self.blocks = self.stops = self.own = self.direct = 0
         self.text = ""
         self.space = True  # of a text: whether white space or the edge of a block is before it
         self.good = self.bad = self.hashed = 0
@@ -124,6 +125,8 @@ def parse(page: str) -> Node:
         if not m[2]:
             continue
         name = m[2].lower()
+        if name in CONTROLS and not m[1]:
+            stack[-1].direct += 1
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
                 if name in ("head", "title", "script", "style"):
@@ -208,13 +211,14 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-WIDTH = 3 * len(TAGS) + HASHED + 27
+WIDTH = 3 * len(TAGS) + HASHED + 33
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node but the root."""
     n_all, total = len(nodes), max(nodes[0].chars, 1)
     state: list[tuple] = [(0, 0, 0, 0)] * n_all  # of a node and those above: good, bad, hidden words; tags seen
+    least = [nodes[0]] * n_all  # the nearest element around a node that has controls, if any
     tags, ups, seens, hashes, rest = [], [], [], [], []
     for n in nodes[1:]:
         up = n.parent
@@ -226,13 +230,14 @@ def features(nodes: list[Node]) -> np.ndarray:
         hashes.append(n.hashed)
         state[n.order] = (good + n.good, bad + n.bad, hidden or n.hidden, seen | 1 << i if i >= 0 else seen)
         chars, kin = n.chars, up.children
+        box = least[n.order] = n if n.direct else least[up.order]
         place, most = _place(n, kin)
         before, after = kin[place - 1] if place else None, kin[place + 1] if place + 1 < len(kin) else None
         some = chars or 1
         rest.append((
             chars, chars / total, chars / (up.chars or 1), chars / (most or 1), n.links / some, n.n_tags / some, n.n_tags, n.blocks, n.stops, before.chars if before else -0.6, after.chars if after else -0.6,
             chars / (n.blocks or 1), n.stops / some, n.depth, len(kin), place, place / len(kin), n.order / n_all, before.links / (before.chars or 1) if before else -1, after.links / (after.chars or 1) if after else -1,
-            n.good, n.bad, n.hidden, good, bad, hidden, len(n.children),
+            n.good, n.bad, n.hidden, good, bad, hidden, len(n.children), n.direct, up.direct, up.parent.direct if up.parent else 0, box.chars / total, up.chars / total, up.links / (up.chars or 1),
         ))
     x = np.zeros((n_all - 1, WIDTH), np.float32)
     if not rest:

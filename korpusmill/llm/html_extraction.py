@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,9 +14,6 @@ from korpusmill.functions.batches import map_batches
 from korpusmill.llm import boosting, dom
 from korpusmill.llm.common import slices
 
-_WORD = re.compile(r"[^\s<>&]{2,20}")
-
-
 def _layouts(words: list[str], n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
     """Pages of many layouts around given words, each with the texts that belong to its article.
 
@@ -37,7 +33,36 @@ def _layouts(words: list[str], n: int, seed: int) -> Iterator[tuple[str, list[st
         items = "".join(f"<li><a href='/x{i}'>{some(1, 3)}</a></li>" for i in range(rng.integers(2, 9)))
         return f"<{tag}{attr}><ul>{items}</ul></{tag}>" if rng.random() < 0.7 else f"<{tag}{attr}>" + " | ".join(f"<a href='/y{i}'>{some(1, 2)}</a>" for i in range(rng.integers(2, 9))) + f"</{tag}>"
 
+    def named(*known: str) -> str:
+        """An attribute: one of the known names, a name that says nothing, or none."""
+        kind = rng.random()
+        unknown = "".join(pick("ka", "lo", "mi", "x", "tu", "re", "zo", "b2", "q-") for _ in range(rng.integers(1, 4)))
+        return f' class="{pick(*known)}"' if known and kind < 0.4 else f' {pick("class", "id")}="{unknown}"' if kind < 0.85 else ""
+
+    def unmarked() -> str:
+        """What its structure alone tells: asides, hidden blocks, boxes with a button, forms, lists of links, threads of remarks."""
+        kind = pick(0, 1, 2, 2, 2, 2, 3, 3, 4, 5, 6, 6, 7)
+        if kind == 0:
+            return f"<aside{named('pull', 'box')}>" + pick("", f"<h3>{some(1, 3)}</h3>") + pick(some(2, 20), f"<p>{some(2, 30)}</p>") + "</aside>"
+        if kind == 1:
+            tag = pick("div", "p", "section")
+            hidden = pick("hidden", 'style="display:none"', "style='display: none'", 'style="color:red; display: none;"', 'aria-hidden="true"')
+            return f"<{tag}{named()} {hidden}>{some(2, 60)}</{tag}>"
+        if kind == 2:
+            return f"<div{named('cc-window', 'toast')}>" + pick(some(3, 40), f"<p>{some(3, 40)}</p>") + f"<button{named()}>{some(1, 2)}</button>{pick('', f'<button>{some(1, 2)}</button>')}</div>"
+        if kind == 3:
+            return f"<form{named()}><p>{some(1, 15)}</p>{pick('<input>', '<select><option>1</select>')}{pick('', f'<label>{some(1, 4)}</label>')}</form>"
+        if kind == 4:
+            return f"<div{named()}>{pick('', f'<h3>{some(1, 3)}</h3>')}<ul>" + "".join(f"<li><a href='#'>{some(1, 7)}</a></li>" for _ in range(rng.integers(3, 8))) + "</ul></div>"
+        if kind == 5:
+            return f"<nav{named()}>" + " ".join(f"<a href='/{i}'>{some(1, 2)}</a>" for i in range(rng.integers(2, 7))) + "</nav>"
+        if kind == 6:
+            return f"<div{named('thread')}>{pick('', f'<h3>{rng.integers(1, 40)} {some(1, 1)}</h3>')}" + "".join(f"<div{named('comment', 'reply')}><b>{some(1, 2)}</b><p>{some(3, 50)}</p><a href='#'>{some(1, 1)}</a></div>" for _ in range(rng.integers(2, 6))) + "</div>"
+        return f"<div{named('advert', 'promo')}><a href='#'>{some(2, 12)}</a></div>"
+
     def junk() -> str:
+        if rng.random() < 0.5:
+            return unmarked()
         kind = rng.integers(11)
         if kind == 0:
             return menu("nav", pick("", ' class="menu"', ' id="nav"'))
@@ -77,6 +102,10 @@ def _layouts(words: list[str], n: int, seed: int) -> Iterator[tuple[str, list[st
                     more = some(2, 30)
                     texts.append(more)
                     out.append(f"<p>{t} {inline()} {more}</p>")
+                elif kind >= 0.28 and rng.random() < 0.12:  # marked up inside, which does not part it
+                    inner, more, tags = some(1, 2), some(2, 30), pick(("em", "em"), ("b", "b"), ("code", "code"), ("a href=z", "a"), ("math><mi", "mi></math"), ("i><b", "b></i"), ("sup", "sup"))
+                    texts[-1] = f"{t} {inner} {more}"
+                    out.append(f"<p>{t} <{tags[0]}>{inner}</{tags[1]}> {more}</p>")
                 elif i and kind < 0.08:
                     out.append(f"<{pick('h2', 'h3')}>{t}</h2>")
                 elif kind < 0.14:
@@ -91,7 +120,7 @@ def _layouts(words: list[str], n: int, seed: int) -> Iterator[tuple[str, list[st
                     out.append(f"<div>{t}</div>")
                 else:
                     out.append(f"<p>{pick('', '', '<b>', '<em>', '<a href=z>')}{t}{pick('</p>', '</p>', '<br>', '')}")
-                if rng.random() < 0.06:
+                if rng.random() < 0.2:
                     out.append(junk())
             return "".join(out)
 
@@ -121,6 +150,16 @@ def _layouts(words: list[str], n: int, seed: int) -> Iterator[tuple[str, list[st
         yield f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style></head><body>{top}{main}{end}{foot}{pick('</body></html>', '')}", texts
 
 
+def _outside(n: dom.Node) -> bool:
+    """Whether a text stands in a part that no article has."""
+    up = n.parent
+    while up is not None:
+        if up.bad or up.hidden or up.tag in ("a", "nav", "aside", "form", "footer"):
+            return True
+        up = up.parent
+    return False
+
+
 def _labelled(page: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of the nodes; 1 for those that hold a text of the article."""
     nodes = dom.in_order(dom.parse(page))
@@ -130,7 +169,7 @@ def _labelled(page: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         left[t] = left.get(t, 0) + 1
     y = np.zeros(len(nodes))
     for n in nodes:
-        if n.text and left.get(n.text, 0) and not (n.parent.bad or n.parent.tag in ("a", "nav", "aside", "form")):
+        if n.text and left.get(n.text, 0) and not _outside(n):
             left[n.text] -= 1
             while n is not None:
                 y[n.order] = 1
@@ -157,18 +196,31 @@ def _marked(page: str) -> tuple[np.ndarray, np.ndarray] | None:
     return (dom.features(nodes), y[1:]) if any_main else None
 
 
-def fit(pages: DataFrame, most: int = 200, longest: int = 200_000, layouts: int = 300, page_id: str = "page_id", html: str = "html", seed: int = 1) -> boosting.Boosted:
-    """Trees fitted on ``most`` pages of the input at the most (by a hash of their id; none beyond ``longest`` characters) and on ``layouts`` made of their words.
+def _vocabulary(n: int = 3000, seed: int = 2) -> list[str]:
+    """Invented words, some with commas and stops, for layouts."""
+    rng = np.random.default_rng(seed)
+    parts = "an er on the st ing re ou ha nd ti es le la de que en ion ar os che un ver ge ben ich".split()
+    return ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 5))) + ("", "", "", "", "", "", "", "", ",", ".")[rng.integers(10)] for _ in range(n)]
 
-    Pages of the input count where they mark an article or a main part themselves; layouts bring what those lack.
-    """
+
+_fitted: dict[tuple[int, int], boosting.Boosted] = {}
+
+
+def standard_model(layouts: int = 500, seed: int = 1) -> boosting.Boosted:
+    """Trees fitted on ``layouts`` seeded pages of invented words: the same for every table, made once a session."""
+    if (layouts, seed) not in _fitted:
+        found = [_labelled(p, t) for p, t in _layouts(_vocabulary(), layouts, seed)]
+        _fitted[layouts, seed] = boosting.fit(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), trees=90)
+    return _fitted[layouts, seed]
+
+
+def fit(pages: DataFrame, most: int = 200, longest: int = 200_000, layouts: int = 500, page_id: str = "page_id", html: str = "html", seed: int = 1) -> boosting.Boosted:
+    """Trees for a site whose pages mark their article: fitted on ``most`` pages at the most (by a hash of their id; none beyond ``longest`` characters) beside the layouts of :func:`standard_model`."""
     some = pages.filter(F.length(html) <= longest).select(F.col(html).alias("html"), F.xxhash64(F.col(page_id), F.col(html)).alias("h"))
     chosen = some.select("h").orderBy("h").limit(most).distinct()  # most numbers at most
     rows = some.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").collect()
-    words = [w for r in rows[:60] for n in dom.in_order(dom.parse(r.html)) for w in _WORD.findall(n.text)[:400]] or "some words of a page that has none".split()
-    found = [m for r in rows if (m := _marked(r.html))] + [_labelled(p, t) for p, t in _layouts(words, layouts, seed)]
-    x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    return boosting.fit(x, y)
+    found = [m for r in rows if (m := _marked(r.html))] + [_labelled(p, t) for p, t in _layouts(_vocabulary(), layouts, seed)]
+    return boosting.fit(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), trees=90)
 
 
 def texts(model: boosting.Boosted, pages: list[str]) -> list[str]:
@@ -184,9 +236,10 @@ def extract(pages: DataFrame, model: boosting.Boosted | None = None, page_id: st
 
     Character references are decoded; white space inside a block becomes one space; blocks are joined by one space. Null and
     empty html give an empty text; repeated rows are each extracted; columns of ``pages`` named ``text`` or ``n_chars`` are
-    replaced; an empty table gives an empty result.
+    replaced; very long pages are read whole; an empty table gives an empty result. Without a ``model`` the standard one is
+    used, so the text of a page never depends on the other pages.
     """
-    model = model or fit(pages, page_id=page_id, html=html)
+    model = model or standard_model()
     source = pages.drop(*({"text", "n_chars"} - {html}))
     shared, place = pages.sparkSession.sparkContext.broadcast(model.__dict__), source.columns.index(html)
     keep = [i for i in range(len(source.columns)) if i != place]

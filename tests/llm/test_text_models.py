@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from korpusmill.llm import boosting, dom, html_extraction, quality_classifier, quality_rules
 
@@ -136,6 +137,38 @@ def test_layouts():
     assert np.mean(exact) > 0.8
 
 
+PARTS = [
+    '<aside class="pull">One advert buy now</aside>', '<div class="cc-window"><p>We use things to make this better for you.</p><button>OK</button></div>', '<div class=zz style="display: none">Hidden words stand here for no one.</div>',
+    '<div class="thread"><h3>3 responses</h3><div class=r><b>Ann</b><p>I think so too, really.</p><a href=#>Reply</a></div><div class=r><b>Bob</b><p>No, I do not think so.</p><a href=#>Reply</a></div></div>',
+    "<form><p>Sign up here please</p><input></form>", "<p hidden>Not to be seen</p>", '<div class="qx7"><ul><li><a href=#>Other things</a></li><li><a href=#>More of them</a></li><li><a href=#>And the rest</a></li></ul></div>',
+]
+OWN = ["<ul><li>first point of it</li><li>second point of it</li></ul>", "<blockquote>A quotation that belongs here.</blockquote>", '<div class="k9"><p>A paragraph in a box of its own, with some words.</p></div>']
+
+
+def test_parts_without_a_telling_name(spark):
+    """Names of classes that the layouts do not have: the structure alone tells. What belongs to the article stays."""
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>Title of it</h1><p>One sentence of the article which goes on for long.</p>{}<p>Two more sentences of it. They go on, and on, for a while.</p><p>" + "More words of the article, which go on for a while. " * 4 + "</p></article>{}<footer>Foot</footer>"
+    read = lambda p: " ".join(re.sub(r"<[^>]*>", " ", p).split())
+    whole = lambda more: " ".join(("Title of it One sentence of the article which goes on for long. " + read(more) + " Two more sentences of it. They go on, and on, for a while. " + "More words of the article, which go on for a while. " * 4).split())
+    cases = [(page.format(p, ""), whole("")) for p in PARTS] + [(page.format("", p), whole("")) for p in PARTS] + [(page.format(p, ""), whole(p)) for p in OWN]
+    out = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame([(i, "u", c[0]) for i, c in enumerate(cases)], "page_id long, url string, html string")).collect()}
+    assert [i for i, c in enumerate(cases) if out[i] != c[1]] == []
+
+
+def test_text_does_not_depend_on_other_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    among = {r.page_id: r.text for r in html_extraction.extract(pages).collect()}
+    some = sorted(among)[:2]
+    alone = {r.page_id: r.text for i in some for r in html_extraction.extract(pages.filter(F.col("page_id") == i)).collect()}
+    assert alone == {i: among[i] for i in some}
+
+
+def test_a_model_for_a_site(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = html_extraction.fit(pages, most=20, layouts=40)
+    assert html_extraction.extract(pages, model).filter("n_chars > 0").count() == pages.count()
+
+
 def test_page_edges(spark):
     data = [(1, "u", None, "x", 1), (2, "u", "", "x", 1), (3, "u", "plain words only", "x", 1), (4, "u", "<p>a<p>b &amp; c&nbsp;d", "x", 1), (4, "u", "<article><h1>T</h1><p>one\n two</p><script>var a='<p>no</p>'</script></article>", "x", 1), (5, "u", "<" * 500 + "<!-- never closed", "x", 1), (6, "u", "<div>" * 3000 + "deep", "x", 1)]
     df = spark.createDataFrame(data, "page_id long, url string, html string, text string, n_chars int")
