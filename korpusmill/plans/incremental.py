@@ -158,9 +158,10 @@ def t8_streamed_rates(t: Tables) -> DataFrame:
     """The daily rates again, by a streaming query over the events."""
     import uuid
 
-    schema = t.events.schema
-    stream = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/event[s].parquet")
-    return I.stream_to_memory(I.event_rates(stream, "1 day"), f"rates_{uuid.uuid4().hex[:8]}")
+    root = f"{scratch(t.spark)}/rates-{uuid.uuid4().hex[:12]}"
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/event[s].parquet")
+    I.stream_rates(I.event_rates(stream, "1 day", late="1 day"), f"{root}/table", f"{root}/state")
+    return I.read_rates(t.spark, f"{root}/table")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")

@@ -72,6 +72,27 @@ def compact(spark: SparkSession, target: str, into: str, keys: list[str], order:
     latest(whole, keys, [*order, "batch"]).drop("batch").write.mode("overwrite").parquet(f"{into}/batch={last}")
 
 
+def stream_rates(rates: DataFrame, target: str, checkpoint: str) -> int:
+    """Write a streamed :func:`event_rates`, as far as events go now, and return how many rows came too late to count.
+
+    Each micro-batch writes the windows that it changed as one partition of ``target``; nothing is held by the driver, and
+    state is dropped once the watermark has passed a window. Rows behind it are left out and counted, by the progress reports
+    that the session keeps (``spark.sql.streaming.numRecentProgressUpdates``). Read the table by :func:`read_rates`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    run = rates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
+
+
+def read_rates(spark: SparkSession, target: str, kind: str = "event_type") -> DataFrame:
+    """The windows of :func:`stream_rates`, each as its last batch left it."""
+    return latest(spark.read.parquet(target), ["start", kind], ["batch"]).drop("batch")
+
+
 def stream_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a streaming query over what is there and return its result, which is held by the driver: windowed counts and the like, for reports and tests."""
     df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()

@@ -72,3 +72,25 @@ def test_a_start_ends_the_wait(spark, tmp_path):
     assert run(spark, tmp_path, late="0 seconds")[1] == ("processing", 1, None, False)
     put(spark, tmp_path, [(9, 500, "other")])
     assert run(spark, tmp_path, late="0 seconds")[1] == ("processing", 1, None, False)
+
+
+def test_rates_with_late_events(spark, tmp_path):
+    """Events out of order by less than the bound count, by more they are left out and told; nothing is kept by the driver."""
+    from korpusmill.streaming import incremental as I
+
+    schema = "event_id int, event_type string, ts timestamp, value double"
+    hours = [[0, 1, 30, 50], [49, 26, 2, 52], [3, 47, 75]]  # the watermark follows ten hours behind the newest before each file
+    counted, newest, want = 0, -(10**6), {}
+    for k, file in enumerate(hours):
+        spark.createDataFrame([(h, "a", T0 + dt.timedelta(hours=h), 1.0) for h in file], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        for h in file:
+            day = h // 24
+            if 24 * (day + 1) > newest - 10:  # its window is still open
+                want[day] = want.get(day, 0) + 1
+            else:
+                counted += 1
+        newest = max(newest, *file)
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        told = I.stream_rates(I.event_rates(stream, "1 day", late="10 hours"), str(tmp_path / "out"), str(tmp_path / "ck"))
+        assert told == {0: 0, 1: 1, 2: 1}[k], (k, told)
+    assert counted == 2 and {(r.start - T0).days: r.n for r in I.read_rates(spark, str(tmp_path / "out")).collect()} == want
