@@ -306,3 +306,14 @@ def x1_hash_embedding(t: Tables) -> DataFrame:
 
     v = t.benchmark.select("item_id", hash_embedding(F.col("text")).alias("v"))
     return v.select("item_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_dims"), F.round(F.array_max("v"), 6).alias("largest"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS w FROM documents),
+c AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS d, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT doc_id, count(*) AS n_dims, round(max(n) / sqrt(sum(n * n)), 6) AS largest FROM c GROUP BY 1""")
+def x1_model_embedding(t: Tables) -> DataFrame:
+    """Whole documents through an embedding provider, which a worker sets up once."""
+    from korpusmill.functions.providers import HashEmbedder, embedder
+
+    v = t.documents.select("doc_id", embedder(t.spark, HashEmbedder)(F.col("text")).alias("v"))
+    return v.select("doc_id", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("n_dims"), F.round(F.array_max("v"), 6).alias("largest")).filter("n_dims > 0")
