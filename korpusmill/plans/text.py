@@ -275,6 +275,21 @@ def s10_replace_where(t: Tables) -> DataFrame:
     return tables.replace_where(old, new, F.col("event_type") == "view")
 
 
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE event_type END AS event_type FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id + 1000000, user_id, 'seen' FROM events WHERE event_type = 'view'")
+def s9_bucketed_table(t: Tables) -> DataFrame:
+    """A stored table in buckets takes an upsert and a delete by condition with an insert, each a new version."""
+    import uuid
+
+    from korpusmill.plans.registry import scratch
+    from korpusmill.sources.buckets import BucketedTable
+
+    old = t.events.select("event_id", "user_id", "event_type")
+    table = BucketedTable.create(old, f"{scratch(t.spark)}/buckets-{uuid.uuid4().hex[:12]}", ["event_id"], 16)
+    table = table.upsert(old.filter("event_type = 'error'").withColumn("event_type", F.upper("event_type")))
+    seen = old.filter("event_type = 'view'").select((F.col("event_id") + 1_000_000).alias("event_id"), "user_id", F.lit("seen").alias("event_type"))
+    return table.replace_where(seen, F.col("event_type") == "view").read()
+
+
 @query("SELECT c_custkey, c_mktsegment, 'default' AS project_id FROM customer")
 def s17_backfill(t: Tables) -> DataFrame:
     return tables.backfill(tables.backfill(t.customer.select("c_custkey", "c_mktsegment"), "project_id", "default"), "project_id", "other")
