@@ -53,13 +53,32 @@ def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str) -> DataFra
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+class Sent(NamedTuple):
+    """Queries that every task has: a broadcast of their ids and matrix, or none if they are too many, and their number."""
+
+    shared: object
+    n: int
+
+
+def send(queries: DataFrame, broadcast_bytes: int = 32 << 20) -> Sent:
+    """Collect the queries (``query_id``, ``vector``) once, if they take at most ``broadcast_bytes`` as doubles; several searches can share them."""
+    some = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
+    size = some.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    if size.n * (size.dims or 0) * 8 > broadcast_bytes:
+        return Sent(None, size.n)
+    table = some.toArrow().combine_chunks()
+    matrix = np.stack(table.column(1).to_numpy()).astype(np.float64) if size.n else np.zeros((0, 0))
+    return Sent(queries.sparkSession.sparkContext.broadcast((table.column(0).to_numpy(), matrix)), size.n)
+
+
 def dense_topk(
     queries: DataFrame, corpus: DataFrame, k: int = 5, floor: float | None = None, skip_self: bool = True, block: int = 2048, broadcast_bytes: int = 32 << 20,
+    sent: Sent | None = None,
 ) -> DataFrame:
     """Cosine top-k of every query (``query_id``, ``vector``) over ``corpus`` (``id``, ``vector``), unit vectors.
 
     Queries of at most ``broadcast_bytes`` (as doubles) are one matrix that every task has; the corpus is read once, in
-    blocks of ``block`` vectors that are multiplied with it, and does not move. More queries are cut into blocks too, and
+    blocks of ``block`` vectors that are multiplied with it, and does not move; ``sent`` (:func:`send`) shares the matrix with other searches. More queries are cut into blocks too, and
     each meets all blocks of the corpus by a join on its number. A block passes on k candidates a query (more where scores
     tie); a window over the candidates finishes. Filters belong on ``corpus`` before the call, so that they reach the scan.
     Rows without a vector are left out.
@@ -74,12 +93,9 @@ def dense_topk(
         at = np.nonzero((s >= least[:, None]) & (s > (-np.inf if floor is None else floor - 1e-12)) & np.isfinite(s))
         return pa.record_batch([pa.array(qi[at[0]]), pa.array(ci[at[1]]), pa.array(s[at])], ["query_id", "id", "score"])
 
-    some = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector")
-    size = some.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
-    if size.n * (size.dims or 0) * 8 <= broadcast_bytes:
-        table = some.toArrow().combine_chunks()
-        ids, matrix = table.column(0).to_numpy(), np.stack(table.column(1).to_numpy()).astype(np.float64) if size.n else np.zeros((0, 0))
-        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    sent = sent or send(queries, broadcast_bytes)
+    if sent.shared is not None:
+        shared = sent.shared
 
         def stream(batches):
             qi, qv = shared.value
@@ -99,7 +115,7 @@ def dense_topk(
                 for q, c in zip(b.column(0), b.column(1), strict=True):
                     yield best(*_block(q), *_block(c))
 
-        parts = -(-size.n // block)
+        parts = -(-sent.n // block)
         q = _blocks(queries, "query_id", block, "q").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
         c = _blocks(corpus, "id", block, "c").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         found = map_batches(c.join(q, "part").select("q", "c"), run, out)
@@ -198,9 +214,10 @@ def hybrid(
     doc_min: float = 0.60, dominant: float = 0.65, thin: float = 0.55,
 ) -> Hybrid:
     """A batch of queries (query_id, vector) against chunks (id, doc_id, ts, vector) and pages (id, vector): three tables keyed by query."""
-    raw = dense_topk(queries, chunks, k_raw)
+    sent = send(queries)  # once for both lanes
+    raw = dense_topk(queries, chunks, k_raw, sent=sent)
     found = raw.join(chunks.select("id", "doc_id", "ts"), "id")
-    semantic = dense_topk(queries, pages, k_pages)
+    semantic = dense_topk(queries, pages, k_pages, sent=sent)
     cited = citation_lane(found.withColumnRenamed("score", "dense_score"), citations, exact_min, doc_min)
     merged = merge_lanes(semantic, cited)
     return Hybrid(merged, citing_pages(found, citations), classify_mode(queries, raw, merged, semantic, dominant, thin))
