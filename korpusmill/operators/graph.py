@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpusmill.functions.sizes import small
 from korpusmill.functions import text as T
+from korpusmill.functions.checkpoints import cut
+from korpusmill.functions.sizes import small
 
 #: How far each weight of an edge comes forward; weaker edges last.
 WEIGHTS = ("canonical", "strong", "tangential")
@@ -146,17 +147,25 @@ def missing_reciprocals(relations: DataFrame, types: DataFrame) -> DataFrame:
     return inverse_edges(relations, types).join(have, ["from_page_id", "type", "to_page_id"], "left_anti")
 
 
-def walk(relations: DataFrame, seeds: DataFrame, hops: int = 3, weights: tuple[str, ...] = WEIGHTS[:2]) -> DataFrame:
+def walk(relations: DataFrame, seeds: DataFrame, hops: int = 3, weights: tuple[str, ...] = WEIGHTS[:2], hub: int = 100_000) -> DataFrame:
     """Pages within ``hops`` typed edges of the seeds, each with the least number of hops; edges of ``weights`` only.
 
-    One join a hop, on the frontier alone.
+    One join a hop, on the frontier alone; a hop is checkpointed, so the next one neither runs it again nor carries its plan, and
+    the walk ends where nothing new is reached. The edges of a page with more than ``hub`` of them are dealt over as many parts
+    as it takes, and a frontier row meets each part, so no task reads all of a hub. Null seeds lead nowhere but are kept.
     """
     edges = relations.filter(F.col("weight").isin(*weights)).select(F.col("from_page_id").alias("page_id"), "to_page_id").distinct()
-    seen = seeds.select(F.col("page_id").alias("seed"), "page_id").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
+    edges = cut(edges.filter("page_id is not null"))
+    hubs = small(cut(edges.groupBy("page_id").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts")).filter("parts > 1")))
+    parts = F.coalesce("parts", F.lit(1))
+    edges = edges.join(hubs, "page_id", "left").select("page_id", F.pmod(F.xxhash64("to_page_id"), parts).cast("int").alias("part"), "to_page_id")
+    seen = frontier = cut(seeds.select(F.col("page_id").alias("seed"), "page_id").distinct().withColumn("hops", F.lit(0)))
     for h in range(1, hops + 1):
-        step = frontier.select("seed", "page_id").join(edges, "page_id").select("seed", F.col("to_page_id").alias("page_id")).distinct()
-        frontier = step.join(seen.select("seed", "page_id"), ["seed", "page_id"], "left_anti").withColumn("hops", F.lit(h))
+        spread = frontier.join(hubs, "page_id", "left").select("seed", "page_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        step = spread.join(edges, ["page_id", "part"]).select("seed", F.col("to_page_id").alias("page_id")).distinct()
+        frontier = cut(step.join(seen.select("seed", "page_id"), ["seed", "page_id"], "left_anti").withColumn("hops", F.lit(h)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from korpusmill.operators import decisions, patches, projects
 from korpusmill.plans.registry import Tables, query, scratch
+from korpusmill.sources.ranges import RangeSnapshot, changes
 from korpusmill.streaming import incremental as I
 
 
@@ -123,6 +124,21 @@ def s13_snapshot_diff(t: Tables) -> DataFrame:
     return patches.change_report(rows.filter("o_orderstatus = 'F'"), rows, "path", "body")
 
 
+@query("""WITH d AS (SELECT *, doc_id > 0.9 * (SELECT max(doc_id) FROM documents) AS late FROM documents)
+SELECT doc_id, CASE WHEN NOT late THEN 'unchanged' WHEN lang = 'fr' THEN 'gone' WHEN source = 'src5' THEN 'new' WHEN source = 'src1' AND text <> upper(text) THEN 'changed' ELSE 'unchanged' END AS status FROM d WHERE NOT (late AND lang = 'fr' AND source = 'src5')""")
+def s13_ranged_diff(t: Tables) -> DataFrame:
+    """Two snapshots that differ in their last tenth; the other ranges are told apart by digests alone."""
+    import uuid
+
+    root = f"{scratch(t.spark)}/ranges-{uuid.uuid4().hex[:12]}"
+    most = t.documents.agg(F.max("doc_id").alias("m")).first().m
+    rows = t.documents.withColumn("late", F.col("doc_id") > 0.9 * (most or 0))
+    a = RangeSnapshot.write(rows.filter("not (late and source = 'src5')"), f"{root}/a", "doc_id", "text")
+    text = F.when(F.col("late") & (F.col("source") == "src1"), F.upper("text")).otherwise(F.col("text"))
+    b = RangeSnapshot.write(rows.filter("not (late and lang = 'fr')").withColumn("text", text), f"{root}/b", "doc_id", "text", like=a)
+    return changes(a, b, unchanged=True)
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def j12_pending(t: Tables) -> DataFrame:
     return I.pending(t.customer.select("c_custkey"), t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
