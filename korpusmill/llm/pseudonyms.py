@@ -13,19 +13,22 @@ DAYS, DAY_PARTS = 73_000, (250, 292)
 
 #: A name, in any case, and what may stand between it and its secret.
 SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]*(?:=|:(?!:))[ \t]*"
+#: Without quotes prose may follow the name ("the secret: of success"). A value right after "=" is one; any other has six characters
+#: or more, or four letters and digits, and among its first 64 a digit or a capital after a small letter.
+BARE = r"(?:(?<==)[^\x20\x09-\x0D]+|(?=[^\x20\x09-\x0D]{6}|(?=[A-Za-z0-9]{4})[0-9]{0,3}[A-Za-z])(?=[^\x20\x09-\x0D]{0,63}[0-9]|[^\x20\x09-\x0D]{0,62}[a-z][A-Z])[^\x20\x09-\x0D]+)"
 
 #: What is looked for, in this order at each place. Digits stand alone: none stands next to them. Each pattern reads a text in
 #: linear time and without a deep stack: an address starts where its characters start, and groups of any number are possessive.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ip": r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[0-3][0-9][./][0-3][0-9][./](?:19|20)[0-9]{2})(?![0-9])",
     "phone": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
     "abroad": r"\+[1-9](?:[ .-]?[0-9]){7,14}(?![0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5})(?![0-9])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": rf"(?<![A-Za-z0-9]){SECRET}(?:\"(?:[^\"\\\r\n]|\\.)++\"|'(?:[^'\\\r\n]|\\.)++'|[^\x20\x09-\x0D]+)",
+    "password": rf"(?<![A-Za-z0-9]){SECRET}(?:\"(?:[^\"\\\r\n]|\\.)++\"|'(?:[^'\\\r\n]|\\.)++'|{BARE})",
     "plain": r"(?<![0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -198,7 +201,7 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All columns of ``docs``; in the text, validated numbers, dates and names of accounts have keyed pseudonyms. ``n_replaced`` counts them.
 
     Card numbers (Luhn), telephone numbers, IPv4 addresses, social security numbers and dates are permuted by a Feistel
@@ -206,7 +209,9 @@ def pseudonymise(docs: DataFrame, key: str = "change-me", text: str = "text") ->
     with the key, originals can be had back. Email addresses, access keys and passwords get keyed digests in their format. What
     looks alike but fails its check (a wrong Luhn sum, 31 February) stays.
 
-    A secret follows a name such as ``token`` in any case and ``=`` or ``:``, with or without blanks and quotes.
+    A secret follows a name such as ``token`` in any case and ``=`` or ``:``, with or without blanks and quotes; without quotes it
+    stands right after ``=`` or looks like one, so prose stays. An address does not follow a letter: ``v1.2.3.4`` is a version.
+    There is no default for ``key``: who knows it can undo the permutations.
 
     Null texts stay null with 0 replaced; texts without a digit, "@", "=", ":" or "AKIA" hold nothing to find; texts of any
     length are read whole, in linear time; each of several equal rows gets the same result; an empty table gives an empty

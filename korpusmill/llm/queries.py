@@ -55,7 +55,7 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key="of the supplied tables").select("doc_id", "text", "n_replaced")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

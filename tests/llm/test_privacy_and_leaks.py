@@ -28,7 +28,7 @@ def luhn(d):
 
 def run(spark, *texts):
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_replaced int")
-    return [(r.text, r.n_replaced) for r in pseudonyms.pseudonymise(df).orderBy("doc_id").collect()]
+    return [(r.text, r.n_replaced) for r in pseudonyms.pseudonymise(df, KEY).orderBy("doc_id").collect()]
 
 
 def test_cards(spark):
@@ -53,6 +53,46 @@ def test_other_kinds(spark):
     assert re.search(r"host (\d+)\.(\d+)\.(\d+)\.(\d+),", out) and re.search(r"on \d{4}-\d\d-\d\d and", out) and re.search(r"\d\d/\d\d/\d{4}", out)
 
 
+def test_every_permutation_is_undone(spark):
+    """With the key, and the format alone, each kind of number leads back to its original."""
+    import datetime
+
+    olds = ["(988) 555-2485", "017-555-7713", "+49 170 1234567", "70.123.182.155", "123-45-6789", "2024-02-29"]
+    new = [t for t, n in run(spark, *olds) if n == 1]
+    assert len(new) == len(olds) and all(a != b and re.sub(r"\d", "0", a) != b for a, b in zip(olds, new, strict=True))
+    digits = [re.sub(r"\D", "", t) for t in new]
+
+    d = digits[0]
+    rank = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:])
+    left, right = brute_permute(rank // 80_000, rank % 80_000, 80_000, 80_000, "phone", undo=True)
+    area, rest = divmod(left * 80_000 + right, 8_000_000)
+    assert f"{area + 200}{rest // 10_000 + 200}{rest % 10_000:04d}" == "9885552485"
+
+    d = digits[1]
+    area, exchange = int(d[:3]), int(d[3:6])
+    left, right = brute_permute(area * 1_000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange, int(d[6:]), 360_000, 10_000, "plain", undo=True)
+    both = left if left < 200_000 else ((left - 200_000) // 200 + 200) * 1_000 + (left - 200_000) % 200
+    assert f"{both:06d}{right:04d}" == "0175557713"
+
+    d = digits[2][1:]
+    k = len(d) // 2
+    left, right = brute_permute(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), "abroad", undo=True)
+    assert digits[2][0] + f"{left:0{k}d}{right:0{len(d) - k}d}" == "491701234567"
+
+    a, b, c, e = map(int, new[3].split("."))
+    left, right = brute_permute(a * 256 + b, c * 256 + e, 65_536, 65_536, "ip", undo=True)
+    assert (left // 256, left % 256, right // 256, right % 256) == (70, 123, 182, 155)
+
+    a, b, c = map(int, new[4].split("-"))
+    left, right = brute_permute(a - (2 if a > 666 else 1), (b - 1) * 9_999 + c - 1, 898, 99 * 9_999, "ssn", undo=True)
+    assert (left + (2 if left + 1 >= 666 else 1), right // 9_999 + 1, right % 9_999 + 1) == (123, 45, 6789)
+
+    first = datetime.date(1900, 1, 1)
+    n = (datetime.date.fromisoformat(new[5]) - first).days
+    left, right = brute_permute(n // 292, n % 292, 250, 292, "date", undo=True)
+    assert first + datetime.timedelta(left * 292 + right) == datetime.date(2024, 2, 29)
+
+
 def test_permutation_is_one_to_one(spark):
     df = spark.range(250 * 292).select(F.floor(F.col("id") / 292).alias("l"), (F.col("id") % 292).alias("r"))
     p = pseudonyms.permute(F.col("l"), F.col("r"), F.lit(250), F.lit(292), KEY, "date")
@@ -66,7 +106,7 @@ def test_pseudonym_edges(spark):
     long_text = "word " * 50_000 + "70.1.2.3"
     out = run(spark, None, "", "nothing here", "12345", long_text, "a@b")
     assert [x[1] for x in out] == [0, 0, 0, 0, 1, 0] and out[0][0] is None and out[4][0].startswith("word word") and len(out) == 6
-    assert pseudonyms.pseudonymise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert pseudonyms.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
 
 
 ITEM = "A train leaves Paris with 40 passengers, then Anna adds 12 kg of coal and asks how many hours the trip to Berlin will take if each one costs 7 dollars more than before."

@@ -3,8 +3,10 @@
 import re
 import time
 
+import pytest
+
 from korpusmill.llm import pseudonyms
-from tests.llm.test_privacy_and_leaks import run
+from tests.llm.test_privacy_and_leaks import KEY, run
 
 
 def test_secret_layouts(spark):
@@ -18,6 +20,27 @@ def test_secret_layouts(spark):
     assert [n for _, n in run(spark, "token = \"two words\"", "tokens are small", "Token::new")] == [1, 0, 0]
 
 
+def test_prose_stays(spark):
+    prose = [
+        "the secret: of success", "A token: nothing more", "Secret: patience, and luck", "release v1.2.3.4 is out", "password: none", "his secret : Nobody knew", "token: 12 a day", "Tokens: ten",
+        "build rc10.2.3.4", "pwd: see above",
+    ]
+    assert run(spark, *prose) == [(t, 0) for t in prose]
+    values = ["b7db7aa4", "hunterXy", "k-33-zz!", "aaaaaaaaaaaaaaaa1"]
+    for head in ("password: ", "Secret:", "token = ", "api_key=", "pwd :"):
+        assert all(n == 1 and v not in t and t.startswith(head) for v, (t, n) in zip(values, run(spark, *(head + v for v in values)), strict=True))
+    assert run(spark, "password=hunter")[0][1] == 1 and run(spark, "at 1.2.3.4, v 1.2.3.4")[0][1] == 2
+    began = time.time()
+    assert run(spark, "token:" * 200_000, "secret: " * 200_000)[1][1] == 0 and time.time() - began < 30
+
+
+def test_a_key_is_needed(spark):
+    df = spark.createDataFrame([(1, "host 70.123.182.155")], "doc_id long, text string")
+    with pytest.raises(TypeError):
+        pseudonyms.pseudonymise(df)
+    assert pseudonyms.pseudonymise(df, "a").first().text != pseudonyms.pseudonymise(df, "b").first().text
+
+
 def test_other_numbers(spark):
     out = run(spark, "+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "(974) 155-3436", "+1 (974) 555-3436")
     assert all(n == 1 for _, n in out)
@@ -32,7 +55,7 @@ def test_supplied_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     secret, phone = r'(?i)token = "[0-9a-f]{40}"', r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
     before = {r.doc_id: r.text or "" for r in docs.collect()}
-    after = {r.doc_id: r.text or "" for r in pseudonyms.pseudonymise(docs).collect()}
+    after = {r.doc_id: r.text or "" for r in pseudonyms.pseudonymise(docs, KEY).collect()}
     old = [(i, v) for i, t in before.items() for rx in (secret, phone) for v in re.findall(rx, t)]
     assert any("token" in v.lower() for _, v in old) and any("(" in v for _, v in old)
     assert not [v for i, v in old if v in after[i]]
@@ -51,7 +74,7 @@ def test_very_long_tokens_in_linear_time(spark):
 
 def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([(1, "host 70.123.182.155", "mine", 3)], "doc_id long, text string, _hit string, _km_hit int")
-    out = pseudonyms.pseudonymise(df)
+    out = pseudonyms.pseudonymise(df, KEY)
     assert out.columns == [*df.columns, "n_replaced"]
     row = out.first()
     assert (row["_hit"], row["_km_hit"], row.n_replaced) == ("mine", 3, 1) and "70.123.182.155" not in row.text
