@@ -48,9 +48,10 @@ def mix(
     """Each row of ``docs`` as often as a Poisson count says, with ``copy`` (0 upwards), in a global random order.
 
     The count inverts the Poisson distribution, whose mean is the rate of the row's source, at a number hashed from the
-    seed and the id. Rows are then dealt out by a hash of seed, id and copy, and sorted by it in each partition.
+    seed and the id. Rows are then dealt out by a hash of seed, id, copy and text, and sorted by it in each partition; the text is
+    in it so that rows that share an id, null say, do not all go to one task.
 
-    A null source is a source of its own; null texts count one byte; rows with the same id (null too) get the same count;
+    A null source is a source of its own; null texts count one byte and texts of any length are hashed whole; rows with the same id (null too) get the same count;
     an empty table gives an empty result; a column of ``docs`` named ``copy`` is replaced.
     """
     docs = docs.drop("copy")
@@ -66,5 +67,5 @@ def mix(
     out = docs.join(table, F.col(source).eqNullSafe(F.col(of))).withColumn(rate, uniform(seed, F.col(doc_id), F.lit(1)))
     n = F.when(F.col(parts) == 1, one).otherwise(count)
     out = out.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
-    out = out.withColumn(key, F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy")))
+    out = out.withColumn(key, F.xxhash64(F.lit(seed), F.col(doc_id), F.col("copy"), F.col(text)))
     return out.repartition(F.col(key)).sortWithinPartitions(key).select(*docs.columns, "copy")
