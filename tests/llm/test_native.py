@@ -128,8 +128,11 @@ def test_rows_without_an_id_are_dealt_out(spark):
     """Rows that share a null id lie in several partitions, a text of megabytes among them, and each is as often there as the others."""
     rows = [(None, f"text {i}", "a") for i in range(400)] + [(None, "x" * 3_000_000, "a"), (1, None, None), (2, "", "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(df, epochs=4.0)
-    got = out.select(F.spark_partition_id().alias("p"), "doc_id", F.md5("text").alias("t")).collect()
-    assert len({r.p for r in got if r.doc_id is None}) > 1
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions would be put together
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    got = mixing.mix(df, epochs=4.0).select(F.spark_partition_id().alias("p"), "doc_id", F.md5("text").alias("t"), "copy").collect()
+    spark.conf.set(name, before)
+    assert len({r.p for r in got if r.doc_id is None and r.copy == 0}) > 1
     counts = Counter(r.t for r in got if r.doc_id is None)
     assert len(counts) == 401 and len(set(counts.values())) == 1
