@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korpusmill.functions.checkpoints import cut
+from korpusmill.functions.sizes import small
 from korpusmill.operators.decisions import aggregate_log
 from korpusmill.sources.tables import _point
 
@@ -149,7 +150,7 @@ class RunStates:
 
     def _live(self, name: str) -> DataFrame:
         """The rows of runs as the manifest has them; folders of other versions are pruned."""
-        manifest = F.broadcast(self.runs().select(F.col("run_id").alias("_run"), F.col("v").alias("_v")))  # a row a run
+        manifest = small(self.runs().select(F.col("run_id").alias("_run"), F.col("v").alias("_v")))
         return self._table(name, self.version).join(manifest, self._same("run_id") & (F.col("v") == F.col("_v"))).drop("_run", "_v")
 
     def _without(self, runs: DataFrame) -> DataFrame:
