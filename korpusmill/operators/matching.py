@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from korpusmill.functions import text as T
 from korpusmill.functions.batches import map_batches
 from korpusmill.functions.checkpoints import cut
+from korpusmill.functions.sizes import small
 from korpusmill.operators.automaton import PhraseTrie, by_bytes
 from korpusmill.operators.retrieval import dense_topk
 from korpusmill.operators.vector_index import VectorIndex
@@ -76,18 +77,21 @@ def _scan_by_join(docs: DataFrame, table: DataFrame, anchor: int, doc_id: str, t
     return hits.filter("rest is null").select("page_id", doc_id).unionByName(long.filter(F.contains("folded", F.col("rest"))).select("page_id", doc_id)).distinct()
 
 
-def ledger(entries: DataFrame, terms: DataFrame, entry: str = "entry_id", surface: str = "surface_form", least: int = 4) -> DataFrame:
+def ledger(entries: DataFrame, terms: DataFrame, entry: str = "entry_id", surface: str = "surface_form", least: int = 4, broadcast_rows: int = 100_000) -> DataFrame:
     """Entries whose normalised surface form contains a term (page_id, term) of ``least`` characters or more, anywhere.
 
     Terms and surfaces are cut into character n-grams of ``least``. A term is looked for by that of its n-grams which the
-    fewest surfaces have, so a common prefix costs nothing; only those pairs are compared.
+    fewest surfaces have, so a common prefix costs nothing; only those pairs are compared. At most ``broadcast_rows`` terms
+    are sent to the tasks; more are joined. The n-grams of the surfaces are never sent: Spark sizes them by the table that they
+    are exploded from, and would take them for small.
     """
     grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substr(c, i, F.lit(least)))))
     t = terms.select("page_id", T.match_norm(F.col("term")).alias("term")).filter(F.length("term") >= least).distinct()
     s = entries.select(F.col(entry), T.match_norm(F.col(surface)).alias("s")).filter(F.length("s") >= least).withColumn("gram", grams(F.col("s")))
-    seen = s.groupBy("gram").agg(F.count("*").alias("n"))
-    rare = t.withColumn("gram", grams(F.col("term"))).join(seen, "gram", "left").groupBy("page_id", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
-    return s.join(rare.select("page_id", "term", "g.gram"), "gram").filter(F.contains("s", F.col("term"))).select(entry, "page_id").distinct()
+    seen = s.groupBy("gram").agg(F.count("*").alias("n")).hint("merge")
+    rare = t.withColumn("gram", grams(F.col("term"))).hint("merge").join(seen, "gram", "left").groupBy("page_id", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    rare = small(cut(rare.filter("g.n > 0").select("page_id", "term", "g.gram")), broadcast_rows)
+    return s.hint("merge").join(rare, "gram").filter(F.contains("s", F.col("term"))).select(entry, "page_id").distinct()
 
 
 def alias_map(pages: DataFrame, aliases: DataFrame) -> DataFrame:
