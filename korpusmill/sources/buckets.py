@@ -66,14 +66,21 @@ class BucketedTable:
         last = latest(new, self.keys)
         return self._commit(old.join(last.select(*self.keys), self.keys, "left_anti").select(*self.schema.names).unionByName(last), touched)
 
-    def replace_where(self, new: DataFrame, condition: Column) -> BucketedTable:
-        """Rows that meet the condition go, then ``new`` comes in by key. Only buckets that hold such rows or new keys are written."""
-        new = cut(latest(new.select(*self.schema.names), self.keys))
+    def replace_where(self, new: DataFrame, condition: Column, by_key: bool = True) -> BucketedTable:
+        """Rows that meet the condition go, then ``new`` comes in by key. Only buckets that hold such rows or new keys are written.
+
+        Without ``by_key`` all rows of ``new`` are added beside those that stay, as :func:`korpusmill.sources.tables.replace_where`
+        does, equal keys or not; a later upsert of such a key leaves one row of it.
+        """
+        new = new.select(*self.schema.names)
+        new = cut(latest(new, self.keys) if by_key else new)
         hit = self.read().filter(F.coalesce(condition, F.lit(False))).select(self.bucket().alias("b"))
         touched = {r.b for r in hit.unionByName(new.select(self.bucket().alias("b"))).distinct().collect()}
         if not touched:
             return self
-        kept = self.read(touched).filter(~F.coalesce(condition, F.lit(False))).join(new.select(*self.keys), self.keys, "left_anti").select(*self.schema.names)
+        kept = self.read(touched).filter(~F.coalesce(condition, F.lit(False)))
+        if by_key:
+            kept = kept.join(new.select(*self.keys), self.keys, "left_anti").select(*self.schema.names)
         return self._commit(kept.unionByName(new), touched)
 
     def _commit(self, rows: DataFrame, touched: set[int]) -> BucketedTable:

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from korpusmill import plans
 from korpusmill.operators import matching
+from korpusmill.sources import tables
+from korpusmill.sources.buckets import BucketedTable
 
 
 def plan(df):
@@ -19,3 +22,21 @@ def test_ledger_never_sends_the_grams_of_surfaces(spark, tmp_path):
         out = matching.ledger(entries, terms, broadcast_rows=rows)
         assert sorted(map(tuple, out.collect())) == want
         assert "BuildLeft" not in plan(out) and ("BroadcastExchange" in plan(out)) == (rows > 0)
+
+
+def test_bucketed_table_with_ids_that_meet(spark, tmp_path):
+    """An event of a table of over a million rows can have the number that a seen one gets; numbers can repeat."""
+    rows = [(5, 1, "view"), (1_000_005, 2, "click"), (1_000_006, 3, "view"), (6, 4, "error"), (7, 5, "view"), (1_000_007, 6, "error"), (6, 4, "error"), (6, 7, "click")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, plans.QUERIES["s9_bucketed_table"](spark, str(tmp_path)).select("event_id", "user_id", "event_type").collect()))
+    assert got == [(6, 4, "ERROR"), (6, 4, "ERROR"), (6, 7, "click"), (1_000_005, 1, "seen"), (1_000_005, 2, "click"), (1_000_007, 5, "seen"), (1_000_007, 6, "ERROR"), (2_000_006, 3, "seen")]
+
+
+def test_replace_without_keys(spark, tmp_path):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("v"))
+    new = df.filter("v = 0").select((F.col("id") + 1).alias("id"), F.lit(9).cast("long").alias("v"))
+    table = BucketedTable.create(df, str(tmp_path / "t"), ["id"], 4).replace_where(new.unionByName(new), F.col("v") == 0, by_key=False)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(table.read()) == rows(tables.replace_where(df, new.unionByName(new), F.col("v") == 0))
+    once = rows(table.upsert(new.filter("id = 1")).read())
+    assert [r for r in once if r[0] == 1] == [(1, 9)] and len(once) == table.read().count() - 2
