@@ -1,9 +1,12 @@
 """What only shows on larger tables, made small: plans that size a table wrongly, and limits that are passed."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from korpusmill import plans
+from korpusmill.operators import lexical_index as L
 from korpusmill.operators import matching
+from korpusmill.operators import retrieval as R
 from korpusmill.sources import tables
 from korpusmill.sources.buckets import BucketedTable
 
@@ -40,3 +43,52 @@ def test_replace_without_keys(spark, tmp_path):
     assert rows(table.read()) == rows(tables.replace_where(df, new.unionByName(new), F.col("v") == 0))
     once = rows(table.upsert(new.filter("id = 1")).read())
     assert [r for r in once if r[0] == 1] == [(1, 9)] and len(once) == table.read().count() - 2
+
+
+def test_many_queries_do_not_emit_all_pairs(spark, monkeypatch):
+    """Queries beyond the bound: what the searches pass on is some rows a query and group, not a row for each pair that shares a word."""
+    monkeypatch.setattr(L, "PART_TOKENS", 64)
+    monkeypatch.setattr(L, "GROUP_BYTES", 1 << 14)
+    words = spark.range(400).select("id", F.explode(F.array(F.lit("the"), F.lit("of"), F.concat(F.lit("w"), F.col("id") % 37))).alias("token"), (1 / (F.col("id") % 11 + 2)).alias("weight"))
+    asked = words.filter("id % 2 = 0").withColumnRenamed("id", "query_id")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(R.sparse_topk(asked, words, 3, broadcast_rows=5)) == rows(R.sparse_topk(asked, words, 3))
+    found = L.LexicalIndex.of(words, 8).search(asked, 3, 5)
+    assert "Generate explode(arrays_zip" not in plan(found) and found.count() < 200 * 400 / 2
+
+
+@pytest.mark.parametrize("broadcast", [0, 32 << 20])
+def test_dense_candidates_are_few(spark, broadcast):
+    """However many blocks a task reads, it passes on the k best of a query once."""
+    e = spark.range(600).coalesce(1).select("id", F.array(*[F.sin(F.col("id") * 7 + F.lit(i)) for i in range(4)]).alias("vector"))
+    q = e.filter("id % 3 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, R.dense_topk(q, e, 4).collect()))
+    for most in (0, 200_000):
+        out = R.dense_topk(q, e, 4, block=50, broadcast_bytes=broadcast, candidates=most)
+        assert sorted(map(tuple, out.collect())) == want
+        assert rows_of(out, "MapInArrow") < 200 * 4 * 3  # not 12 blocks of k
+
+
+def rows_of(df, name):
+    """Rows that the topmost operator of that name gave when ``df`` ran."""
+    def walk(p):
+        if name in p.nodeName():
+            return p.metrics().apply("pythonNumRowsReceived").value()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if "QueryStage" in p.getClass().getSimpleName():
+            return walk(p.plan())
+        kids = p.children()
+        return next((r for i in range(kids.size()) if (r := walk(kids.apply(i))) is not None), None)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_the_lanes_search_once(spark, sf_dir, monkeypatch):
+    """Fusion and evaluation use the lexical lane two and four times; it is worked out once."""
+    calls, real = [], R.sparse_topk
+    monkeypatch.setattr(R, "sparse_topk", lambda *a, **k: calls.append(1) or real(*a, **k))
+    for name in ("r8_rank_fusion", "r9_evaluation"):
+        calls.clear()
+        out = plans.QUERIES[name](spark, sf_dir)
+        assert len(calls) == 1 and "LexicalIndex" not in plan(out) and "explode" not in plan(out)
