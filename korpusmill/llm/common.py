@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +121,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[bytes,
     return lower[keep].tobytes(), a[ok], b[until[ok]], row[ok]
 
 
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each shingle, repeats included, in order of rows; its row."""
+    buf, start, end, row = shingles(data, offsets, width)
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(buf[a:b], 42) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start)), row
+
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

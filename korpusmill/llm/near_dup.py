@@ -8,27 +8,22 @@ from math import comb, inf
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions.batches import map_batches
-from korpusmill.llm import shingle_dedup
-from korpusmill.llm.common import cut, shingles, slices, utf8
+from korpusmill.llm.common import cut, shingle_hashes, slices, utf8
 from korpusmill.llm.components import components
 from korpusmill.llm.keeping import keep_keepers, with_keepers
 
 BITS = 64
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 4) -> np.ndarray:
-    """SimHash of each text: bit i is 1 if it is set in over half of the XXH64 hashes of its word shingles."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
-    buf, start, end, row = shingles(data, offsets, width)
-    if not len(start):
+def fingerprints(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """SimHash of each of ``rows`` texts: bit i is 1 if it is set in over half of its hashes ``h``, which come in order of ``row``."""
+    out = np.zeros(rows, np.uint64)
+    if not len(h):
         return out
-    hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(buf[a:b], 42) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
     at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     n = np.diff(np.append(at, len(row)))
     for i in range(0, len(at), 512):  # bounded memory: a few rows at a time
@@ -45,7 +40,7 @@ def with_fingerprint(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(fingerprints(*utf8(b.column(2)), width).view(np.int64))], ["doc_id", "th", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fingerprints(*shingle_hashes(*utf8(b.column(2)), width), b.num_rows).view(np.int64))], ["doc_id", "th", "fp"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     return map_batches(source, run, "doc_id long, th long, fp long")
@@ -113,7 +108,7 @@ def allocate(n: int, gram: np.ndarray, distance: int, key_cost: float = 1.0, pai
                 at[0] *= 1 - d
             cost[i, 0] = 0
             for t in range(distance + 1):
-                if comb(len(bits), t) <= 1024:
+                if t <= len(bits) and comb(len(bits), t) <= 1024:
                     mean[i, t + 1] = n * at[: t + 1].sum() / comb(len(bits), t)
                     cost[i, t + 1] = key_cost * n * comb(len(bits), t) + pair_cost * n * n / 2 * at[: t + 1].sum()
         table, back = np.full((m + 1, distance + 2), inf), {}
@@ -189,6 +184,75 @@ def links(fps: DataFrame, distance: int = 4, crowd: int = 128) -> DataFrame:
     return edges.unionByName(more)
 
 
+def near_pairs(fp: np.ndarray, distance: int, each: int = 16, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of the pairs within ``distance`` of which one has at most ``each`` others so near; ``cells`` are compared at a time.
+
+    Of the rest, which is crowded, each is paired with the first leader within ``distance`` only; a leader is one that has no leader before it so near.
+    """
+    m, found, crowd = len(fp), [], []
+    step = max(1, cells // m)
+    for a in range(0, m, step):
+        near = np.bitwise_count(fp[a : a + step, None] ^ fp) <= distance
+        many = near.sum(axis=1) > each + 1
+        crowd.append(np.flatnonzero(many) + a)
+        near[many] = False
+        i, j = np.nonzero(near)
+        found.append((i + a, j))
+    left = np.concatenate(crowd)
+    while len(left):
+        near = np.bitwise_count(fp[left] ^ fp[left[0]]) <= distance
+        found.append((np.full(near.sum(), left[0]), left[near]))
+        left = left[~near]
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.divmod(np.unique((np.minimum(i, j) * m + np.maximum(i, j))[i != j]), m)
+
+
+def candidates(fps: DataFrame, distance: int = 8, piece: int = 1 << 17) -> DataFrame:
+    """Pairs (``src``, ``dst``) of different ids whose fingerprints (``fp``, ``id``) lie within ``distance``, for an exact check to follow.
+
+    They meet in buckets as in :func:`links`, but pairs are compared by numpy in one task a bucket, a five-hundredth of what a key costs,
+    so there are fewer keys and larger buckets. All pairs of a bucket come out but for those inside a crowd (:func:`near_pairs`) and, of
+    more than ``piece`` rows, those of different pieces in order of fingerprint. So a bucket never emits its square; the caller has to
+    find what this leaves out.
+    """
+    n, gram = bit_statistics(fps)
+    parts, thresholds, _ = allocate(n, gram, distance, pair_cost=0.002)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(x).alias("mask")) for i, x in enumerate(masks(parts, thresholds))]))
+    keyed = fps.select("fp", "id", keys.alias("key")).select("key.k", F.col("fp").bitwiseAND(F.col("key.mask")).alias("v"), "fp", "id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> tuple[np.ndarray, np.ndarray]:
+            fp, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            i, j = near_pairs(fp.view(np.uint64), distance)  # bits of a negative number would be those of its absolute value
+            return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+        def table() -> pa.RecordBatch:
+            return pa.record_batch([np.concatenate(x) for x in zip(*out, strict=True)], ["src", "dst"])
+
+        held, rows, key, out = [], 0, None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, v, fp, ids = (b.column(c).to_numpy() for c in range(4))
+            at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
+            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(k)], strict=True):
+                if key != (k[i], v[i]) or rows >= piece:
+                    if rows > 1:
+                        out.append(pairs())
+                    held, rows, key = [], 0, (k[i], v[i])
+                held.append((fp[i:j], ids[i:j]))
+                rows += j - i
+            if sum(len(x) for x, _ in out) > 10_000:
+                yield table()
+                out = []
+        if rows > 1:
+            out.append(pairs())
+        if out:
+            yield table()
+
+    return map_batches(keyed.repartition("k", "v").sortWithinPartitions("k", "v", "fp", "id"), run, "src long, dst long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``fp`` (signed long) and ``component_id``, the smallest id reachable over links.
 
@@ -216,14 +280,16 @@ def keep_one(
     """One row of each group of near duplicates, with the columns of ``docs``: that of the smallest id, of several that of the smallest text hash.
 
     Groups are linked by fingerprints within ``distance``; or, if a ``similarity`` is given, by texts whose sets of shingles
-    have that Jaccard similarity or more, which a fingerprint within reach of the pigeonhole search does not tell (see
-    :mod:`korpusmill.llm.shingle_dedup`).
+    have that Jaccard similarity or more: fingerprints find the first of them and MinHash bands the rest, which lies
+    beyond the reach of a pigeonhole search (see :mod:`korpusmill.llm.shingle_dedup`).
 
     Rows that share an id are told apart by their text, and of rows alike in both one stays; null ids come last; null, empty and
     blank texts are alike; an empty table gives an empty result; very long texts are read whole. Texts do not move where at
     most ``broadcast_rows`` rows go.
     """
     if similarity is not None:
+        from korpusmill.llm import shingle_dedup  # which itself imports this module
+
         return shingle_dedup.keep_one(docs, width, similarity, broadcast_rows, doc_id, text)
     marked = cut(with_fingerprint(docs, width, doc_id, text))
     found = components(links(marked.select("fp", F.col("fp").alias("id")).distinct(), distance)).withColumnRenamed("node", "fp")

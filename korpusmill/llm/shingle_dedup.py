@@ -1,4 +1,7 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles: MinHash bands for candidates, whole sets for the verdict."""
+"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+
+Candidates come from SimHash fingerprints, and from MinHash bands where these don't reach; whole sets give the verdict.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusmill.functions.batches import map_batches
-from korpusmill.llm.common import cut, scramble, shingles, slices, utf8
+from korpusmill.llm import near_dup
+from korpusmill.llm.common import cut, scramble, shingle_hashes, slices, utf8
 from korpusmill.llm.components import components
 from korpusmill.llm.keeping import checked, keep_keepers, with_keepers
 
@@ -22,9 +25,7 @@ _SEEDS = scramble(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).astype(np
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 hashes of the distinct word shingles of all rows, in order of row and hash, and the number of each row."""
-    buf, start, end, row = shingles(data, offsets, width)
-    hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(buf[a:b], 42) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
+    h, row = shingle_hashes(data, offsets, width)
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -57,16 +58,18 @@ def bands(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _marked(texts: DataFrame, width: int) -> DataFrame:
-    """``id``, ``th``, the hash ``whole`` of its set, its size ``n`` and its ``bands``."""
+    """``id``, ``th``, the hash ``whole`` of its set, its size ``n``, its fingerprint ``fp`` and its ``bands``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             h, n = shingle_sets(*utf8(b.column(2)), width)
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(h, n).ravel().view(np.int64)))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(set_hashes(h, n).view(np.int64)), pa.array(n.astype(np.int64)), keys], ["id", "th", "whole", "n", "bands"])
+            fp = near_dup.fingerprints(h, np.repeat(np.arange(len(n)), n), len(n))
+            columns = [pa.array(x.view(np.int64)) for x in (set_hashes(h, n), n.astype(np.int64), fp)]
+            yield pa.record_batch([b.column(0), b.column(1), *columns, keys], ["id", "th", "whole", "n", "fp", "bands"])
 
-    return map_batches(texts, run, "id long, th long, whole long, n long, bands array<long>")
+    return map_batches(texts, run, "id long, th long, whole long, n long, fp long, bands array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -156,22 +159,36 @@ def _linked(similarity: float):
     return run
 
 
-def edges(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, broadcast_rows: int, block_bytes: int = 1 << 25, block_rows: int = 2048) -> DataFrame:
-    """Links (``src``, ``dst``) between distinct sets (``whole``, ``n``, ``bands``, ``th``) whose closure is all similar pairs that share a band."""
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (``src``, ``dst``) whose ``sets`` have the similarity."""
+    both = pairs.join(sets.select(F.col("whole").alias("dst"), F.col("shingles").alias("b")), "dst").join(sets.select(F.col("whole").alias("src"), F.col("shingles").alias("a")), "src")
+    common = F.size(F.array_intersect("a", "b"))
+    return cut(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-6).select("src", "dst"))
+
+
+def edges(
+    nodes: DataFrame, texts: DataFrame, width: int, similarity: float, broadcast_rows: int, distance: int = 8, block_bytes: int = 1 << 25, block_rows: int = 2048,
+) -> DataFrame:
+    """Links (``src``, ``dst``) between distinct sets (``whole``, ``n``, ``fp``, ``bands``, ``th``) whose closure is all similar pairs that share a band or whose fingerprints meet within ``distance``."""
+    near = cut(near_dup.candidates(nodes.filter("n > 0").select("fp", F.col("whole").alias("id")), distance))
     keyed = nodes.select("whole", "n", F.explode("bands").alias("v"))
     leads = keyed.groupBy("v").agg(F.count("*").alias("c"), F.min(F.struct("whole", "n")).alias("lead")).filter("c > 1").select("v", F.col("lead.whole").alias("lead"), F.col("lead.n").alias("lead_n"))
     members = cut(keyed.join(checked(cut(leads), broadcast_rows), "v"))
-    star = members.filter((F.col("whole") != F.col("lead")) & (F.least("n", "lead_n") / F.greatest("n", "lead_n") >= similarity)).select(F.col("lead").alias("src"), F.col("whole").alias("dst")).distinct()
     # the sets of all that meet another
-    ends = checked(cut(members.select("whole").distinct()), broadcast_rows)
+    ends = members.select("whole").unionByName(near.select(F.col("src").alias("whole"))).unionByName(near.select(F.col("dst").alias("whole")))
+    ends = checked(cut(ends.distinct()), broadcast_rows)
     theirs = checked(cut(nodes.join(ends, "whole", "left_semi").select("th").distinct()), broadcast_rows)
     sets = cut(_sets(texts.join(theirs, "th", "left_semi"), width).join(ends, "whole", "left_semi").dropDuplicates(["whole"]))
-    both = star.join(sets.select(F.col("whole").alias("dst"), F.col("shingles").alias("b")), "dst").join(sets.select(F.col("whole").alias("src"), F.col("shingles").alias("a")), "src")
-    common = F.size(F.array_intersect("a", "b"))
-    stars = cut(both.filter(common >= similarity * (F.size("a") + F.size("b") - common) - 1e-6).select("src", "dst"))
-    # buckets that hold several stars: their members meet in blocks, and only what joins two stars comes out
-    label = stars.groupBy(F.col("dst").alias("whole")).agg(F.min("src").alias("label"))
-    spread = members.select("v", "whole", "n").join(checked(label, broadcast_rows), "whole", "left").withColumn("label", F.coalesce("label", "whole"))
+    # what fingerprints link; bands then take the pairs that this leaves apart
+    first = _similar(near, sets, similarity)
+    least = lambda df, a, b: checked(cut(df.groupBy(F.col("dst").alias(a)).agg(F.min("src").alias(b))), broadcast_rows)
+    star = members.filter((F.col("whole") != F.col("lead")) & (F.least("n", "lead_n") / F.greatest("n", "lead_n") >= similarity)).select(F.col("lead").alias("src"), F.col("whole").alias("dst")).distinct()
+    star = star.join(least(first, "src", "src_in"), "src", "left").join(least(first, "dst", "dst_in"), "dst", "left")
+    star = star.filter(F.coalesce("src_in", "src") != F.coalesce("dst_in", "dst")).select("src", "dst")
+    stars = first.unionByName(_similar(star, sets, similarity))
+    # buckets that still hold several stars: their members meet in blocks, and only what joins two stars comes out
+    label = least(stars, "whole", "label")
+    spread = members.select("v", "whole", "n").join(label, "whole", "left").withColumn("label", F.coalesce("label", "whole"))
     mixed = spread.groupBy("v").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.sum("n").alias("size"), F.count("*").alias("c")).filter("a < b")
     mixed = cut(mixed.select("v", F.greatest(F.ceil(F.col("size") * 8 / block_bytes), F.ceil(F.col("c") / block_rows)).cast("int").alias("blocks")))
     placed = spread.join(checked(mixed, broadcast_rows), "v").join(sets, "whole")
@@ -186,7 +203,7 @@ def _classes(docs: DataFrame, width: int, similarity: float, broadcast_rows: int
     """``id``, ``th``, ``copies``, ``component`` and ``keeper`` (id, text hash) of each distinct pair of id and text hash."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     marked = cut(_marked(texts, width))
-    nodes = cut(marked.groupBy("whole").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("th").alias("th")))
+    nodes = cut(marked.groupBy("whole").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min("th").alias("th")))
     found = components(edges(nodes, texts, width, similarity, broadcast_rows)).withColumnRenamed("node", "whole")
     rows = marked.groupBy("id", "th", "whole").agg(F.count("*").alias("copies"))
     rows = rows.join(checked(found, broadcast_rows), "whole", "left").select("id", "th", "copies", F.coalesce("component", "whole").alias("component"))
@@ -196,12 +213,14 @@ def _classes(docs: DataFrame, width: int, similarity: float, broadcast_rows: int
 def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``text_hash`` and ``component_id`` of each distinct row: the smallest id reachable over pairs of texts whose shingle sets have Jaccard ``similarity`` or more.
 
-    Equal sets are one node. Nodes meet in buckets by MinHash bands; each is verified against the least of its bucket by
-    exact similarity. Where that leaves a bucket in several stars, its members meet in blocks of bounded size inside tasks, where
-    all pairs are compared exactly, and only the links that join two stars come out. So no bucket is capped, and what is
-    emitted grows with the members of a bucket, not with its square.
+    Equal sets are one node. Nodes whose fingerprints lie within 8 bits are linked first, each pair verified by exact
+    similarity (:func:`near_dup.candidates`). Pairs may be similar with fingerprints further apart, so nodes also meet in buckets by
+    MinHash bands; those not yet linked with the least of their bucket are verified against it. Where that leaves a bucket in
+    several stars, its members meet in blocks of bounded size inside tasks, where all pairs are compared exactly, and only the
+    links that join two stars come out. So no bucket is capped, and what is emitted grows with the members of a bucket, not
+    with its square.
 
-    A pair is missed only if it shares no band: probability 3e-6 at similarity 0.8, less above. Texts of fewer than ``width``
+    A pair is missed only if its fingerprints don't meet and it shares no band: probability at most 3e-6 at similarity 0.8, less above. Texts of fewer than ``width``
     words are one shingle; null, empty and blank texts have the empty set and belong together; rows that share an id are told
     apart by their text; a null id counts as larger than any other, so it names a component only where there is no other; an
     empty table gives an empty result; very long texts are read whole.
